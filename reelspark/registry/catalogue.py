@@ -9,9 +9,9 @@ from reelspark.registry import common
 MODULES = (
     "ingest_queries",
     "explore_queries",
-#    "feature_queries",
-#    "profile_queries",
-#    "compare_queries",
+    "feature_queries",
+    "profile_queries",
+    "compare_queries",
 #    "model_queries",
 #    "evaluation_queries",
 #    "two_tower_queries",

@@ -12,8 +12,8 @@ MODULES = (
     "feature_queries",
     "profile_queries",
     "compare_queries",
-#    "model_queries",
-#    "evaluation_queries",
+    "model_queries",
+    "evaluation_queries",
 #    "two_tower_queries",
 )
 

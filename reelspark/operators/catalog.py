@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import primary_tag_category
+from reelspark.session import materialize
 
 
 def build_catalog(items: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def retrieval_targets(
 ) -> tuple[DataFrame, DataFrame]:
     """Targets and exclusions `(user_id, item_id)` per evaluated user.
 
-    Targets are eval positives that are available and, if asked, no fit
+    Both are written out, as every later step reads them. Targets are eval positives that are available and, if asked, no fit
     positives. Warm users have any fit row at all. Users without a target drop out.
     """
     targets = positives(eval_df, label, catalog)
@@ -51,8 +52,9 @@ def retrieval_targets(
         seen = positives(fit_df, label, catalog)
         targets = targets.join(seen, ["user_id", "item_id"], "left_anti")
     targets = targets.join(available.select("item_id"), "item_id", "left_semi").select("user_id", "item_id")
+    targets = materialize(targets, "targets")
     if exclude_fit_positives:
-        exclusions = seen.join(targets.select("user_id").distinct(), "user_id", "left_semi")
+        exclusions = materialize(seen.join(targets.select("user_id").distinct(), "user_id", "left_semi"), "exclusions")
     else:
         exclusions = targets.limit(0)
     return targets, exclusions

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.stats import global_rank
 from reelspark.operators.recommend import Recommender, item_tie, top_k, walk_shared_order
+from reelspark.session import materialize
 
 # Similarities are summed as whole numbers of 1e-15, so a sum does not depend
 # on the order in which rows arrive and equal scores stay equal.
@@ -74,18 +75,17 @@ class ItemCooccurrence(Recommender):
         self.shrinkage, self.max_history = float(shrinkage), max_history
 
     def fit(self, interactions: DataFrame, catalog: DataFrame, as_of) -> ItemCooccurrence:
-        self.history = user_histories(interactions, self.signal, self.max_history)
+        self.history = materialize(user_histories(interactions, self.signal, self.max_history), "histories")
         counts = history_counts(self.history)
-        self.similarities = top_neighbors(
-            item_similarities(co_users(self.history), self.shrinkage), self.n_neighbors
-        ).withColumn("units", F.floor(F.col("sim") * UNIT).cast("bigint"))
+        nearest = top_neighbors(item_similarities(co_users(self.history), self.shrinkage), self.n_neighbors)
+        units = F.floor(F.col("sim") * UNIT).cast("bigint")
+        self.similarities = materialize(nearest.withColumn("units", units), "similarities")
         most = counts.agg(F.max("n_users")).scalar()
         n_users = F.coalesce(F.col("n_users"), F.lit(0)).cast("double")
         share = n_users / F.greatest(F.coalesce(most, F.lit(1)), F.lit(1)).cast("double")
-        self.popularity = (
-            catalog.select("item_id")
-            .join(counts, "item_id", "left")
-            .select("item_id", F.coalesce("n_users", F.lit(0)).alias("n_users"), F.floor(share * POPULARITY_UNITS).cast("bigint").alias("base"))
+        base = F.floor(share * POPULARITY_UNITS).cast("bigint").alias("base")
+        self.popularity = materialize(
+            catalog.select("item_id").join(counts, "item_id", "left").select("item_id", base), "popularity"
         )
         return self
 
@@ -124,7 +124,7 @@ class ItemCooccurrence(Recommender):
         ahead of it and can never be listed.
         """
         listable = self.popularity.join(available.select("item_id"), "item_id", "left_semi")
-        ranked = global_rank(listable, "base", "item_id", seed).select("item_id", "position")
+        ranked = materialize(global_rank(listable, "base", "item_id", seed).select("item_id", "position"), "ranked")
         popular = walk_shared_order(users, k, exclusions, ranked)
         near = self.candidates(users).join(exclusions, ["user_id", "item_id"], "left_anti")
         pool = near.unionByName(popular.select("user_id", "item_id", F.lit(0).cast("bigint").alias("units")))

@@ -9,6 +9,7 @@ from reelspark.functions import stats
 from reelspark.functions.expressions import hash_number
 from reelspark.operators.eval_retrieval import ideal_dcg
 from reelspark.operators.recommend import Recommender
+from reelspark.session import materialize
 
 
 def exposures(eval_df: DataFrame, labels, group_by: str = "user") -> DataFrame:
@@ -74,7 +75,7 @@ def evaluate_ranking(
 ) -> DataFrame:
     """Ranking metrics of a fitted model: `(label, metric, k, value, ci_lo, ci_hi)`."""
     scored = with_group(model.score_pairs(exposures(eval_df, labels, group_by)), group_by)
-    return ranking_metrics(scored, labels, ks, gauc_weight, seed, n_boot)
+    return ranking_metrics(materialize(scored, "scored"), labels, ks, gauc_weight, seed, n_boot)
 
 
 def ranking_metrics(scored: DataFrame, labels, ks, gauc_weight="impressions", seed=0, n_boot: int = 0) -> DataFrame:
@@ -86,11 +87,11 @@ def ranking_metrics(scored: DataFrame, labels, ks, gauc_weight="impressions", se
 
     overall = stats.grouped_auc(by_label(scored, ["score"], labels), ["label"], "y", "score")
     weight = F.col("n").cast("double") if gauc_weight == "impressions" else F.lit(1.0)
-    groups = group_auc(scored, labels).withColumn("w", weight)
+    groups = materialize(group_auc(scored, labels).withColumn("w", weight), "group-auc")
     gauc = groups.groupBy("label").agg(
         (F.sum(F.col("auc") * F.col("w")) / F.sum("w")).alias("value"), F.count(F.lit(1)).alias("groups")
     )
-    lists = group_ndcg(scored, labels, ks, seed)
+    lists = materialize(group_ndcg(scored, labels, ks, seed), "group-ndcg")
     long_lists = lists.select(
         "label",
         "group_id",

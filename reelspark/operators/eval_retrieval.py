@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import stats
 from reelspark.operators.catalog import available_items, retrieval_targets
 from reelspark.operators.recommend import Recommender
+from reelspark.session import materialize
 
 
 def item_information(fit_df: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -134,7 +135,10 @@ def evaluate_retrieval(
     available = available_items(catalog, last_day)
     targets, exclusions = retrieval_targets(eval_df, fit_df, label, catalog, available, users, exclude_fit_positives)
     people = targets.select("user_id").distinct()
-    recommended = model.recommend(people, width, exclusions, available, seed, max_dense_scores)
+    # the lists feed the per-user and the per-item metrics
+    recommended = materialize(
+        model.recommend(people, width, exclusions, available, seed, max_dense_scores), "recommended"
+    )
     described = hit_lists(recommended, targets).join(item_information(fit_df, catalog), "item_id")
     metrics = _mean_metrics(user_metrics(described, targets, ks, width, diversity_k))
     spread = list_concentration(recommended, available, ks).select(

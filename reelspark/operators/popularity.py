@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.stats import global_rank
 from reelspark.operators.recommend import Recommender, walk_shared_order
+from reelspark.session import materialize
 
 
 class MostPopular(Recommender):
@@ -23,10 +24,9 @@ class MostPopular(Recommender):
         if self.window_days is not None:
             rows = rows.filter(F.col("date") >= F.lit(as_of - timedelta(days=self.window_days)))
         counts = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("_count"))
-        self.item_scores = (
-            catalog.select("item_id")
-            .join(counts, "item_id", "left")
-            .select("item_id", F.coalesce("_count", F.lit(0)).cast("double").alias("score"))
+        scores = catalog.select("item_id").join(counts, "item_id", "left")
+        self.item_scores = materialize(
+            scores.select("item_id", F.coalesce("_count", F.lit(0)).cast("double").alias("score")), self.name
         )
         return self
 
@@ -36,7 +36,7 @@ class MostPopular(Recommender):
     def ranked(self, available: DataFrame, seed) -> DataFrame:
         """Available items in popularity order: `(item_id, position)`."""
         listable = self.item_scores.join(available.select("item_id"), "item_id", "left_semi")
-        return global_rank(listable, "score", "item_id", seed).select("item_id", "position")
+        return materialize(global_rank(listable, "score", "item_id", seed).select("item_id", "position"), "ranked")
 
     def recommend(self, users, k, exclusions, available, seed, max_dense_scores=None) -> DataFrame:
         return walk_shared_order(users, k, exclusions, self.ranked(available, seed))

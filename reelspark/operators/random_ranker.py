@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions.expressions import hash_number, hash_uniform
 from reelspark.functions.stats import global_rank
 from reelspark.operators.recommend import Recommender, numbered_slots, top_k, with_barred_count
+from reelspark.session import materialize
 
 
 def _next_prime(n: int) -> int:
@@ -40,10 +41,9 @@ class RandomRecommender(Recommender):
         positions, so k + exclusions + (prime - size) steps always suffice.
         """
         listable = available.select("item_id", F.lit(0).alias("_level"))
-        ranked = global_rank(listable, "_level", "item_id", self.seed).select(
-            "item_id", (F.col("position") - 1).alias("position")
-        )
-        n_items = available.count()
+        ranked = global_rank(listable, "_level", "item_id", self.seed)
+        ranked = materialize(ranked.select("item_id", (F.col("position") - 1).alias("position")), "positions")
+        n_items = ranked.count()
         prime = _next_prime(n_items)
         barred = exclusions.join(ranked, "item_id").select("user_id", "position")
         steps = F.least(F.col("_barred") + k + (prime - n_items), F.lit(prime))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from reelspark.operators.eval_ranking import evaluate_ranking
 from reelspark.operators.eval_retrieval import evaluate_retrieval
 from reelspark.operators.recommend import Recommender
 from reelspark.params import EvalParams, SplitDates
+from reelspark.session import materialize
 from reelspark.sources import tables
 
 RESULT_COLUMNS = ("eval_set", "model", "protocol", "label", "metric", "k", "value", "ci_lo", "ci_hi")
@@ -38,12 +38,12 @@ def evaluate_models(
         split, source = tables.parse_eval_set(name)
         if split not in fitted:
             as_of = splits.start(split)
-            fit_df = tables.fit_window(interactions, as_of).persist(StorageLevel.MEMORY_AND_DISK)
-            catalog = build_catalog(items, fit_df)
+            fit_df = materialize(tables.fit_window(interactions, as_of), f"fit-{split}")
+            catalog = materialize(build_catalog(items, fit_df), f"catalog-{split}")
             models = [m.fit(fit_df, catalog, as_of) for m in make_models()]
             fitted[split] = (fit_df, catalog, models, min(max(params.ks), catalog.count()))
         fit_df, catalog, models, width = fitted[split]
-        eval_df = tables.eval_set(interactions, name)
+        eval_df = materialize(tables.eval_set(interactions, name), name)
         for model in models:
             if source == "standard":
                 for label in params.labels:

@@ -14,7 +14,7 @@ MODULES = (
     "compare_queries",
     "model_queries",
     "evaluation_queries",
-#    "two_tower_queries",
+    "two_tower_queries",
 )
 
 

@@ -14,7 +14,7 @@ from reelspark.params import EvalParams
 from reelspark.plans import experiment
 from reelspark.registry.common import hash_sql, query, tie_sql, view
 from reelspark.registry.model_queries import AS_OF, K, SEED, Setting
-from reelspark.session import scratch_path
+from reelspark.session import materialize, scratch_path
 from reelspark.sources import fixtures, logs
 
 KS, DIVERSITY_K = (5, 10), 5
@@ -103,7 +103,7 @@ def _popular_hits(s):
     targets, exclusions = s.targets()
     people = targets.select("user_id").distinct()
     model = MostPopular("is_click").fit(s.fit, s.catalog, AS_OF)
-    lists = model.recommend(people, K, exclusions, s.available, SEED)
+    lists = materialize(model.recommend(people, K, exclusions, s.available, SEED), "recommended")
     return lists, targets
 
 

@@ -15,6 +15,7 @@ from reelspark.operators.random_ranker import RandomRecommender
 from reelspark.operators.recommend import DenseScoresRefused, dense_recommend, top_k
 from reelspark.params import BaselineParams
 from reelspark.registry.common import hash_sql, query, tie_sql, view
+from reelspark.session import materialize
 from reelspark.sources import fixtures, tables
 
 SEED, K, HISTORY, NEIGHBORS, SHRINKAGE, WINDOW = 17, 10, 20, 15, 10.0, 60
@@ -160,6 +161,10 @@ class Setting:
         self.available = cat.available_items(self.catalog, self.eval.agg(F.max("date")).scalar())
 
     def targets(self):
+        """Targets and exclusions; what they and the later steps share is written once."""
+        self.fit, self.eval = materialize(self.fit, "fit"), materialize(self.eval, "eval")
+        self.catalog = materialize(cat.build_catalog(self.items, self.fit), "catalog")
+        self.available = cat.available_items(self.catalog, self.eval.agg(F.max("date")).scalar())
         return cat.retrieval_targets(self.eval, self.fit, "is_click", self.catalog, self.available)
 
     def lists(self, model, k: int = K):

@@ -49,12 +49,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage by writing `df` to the shared folder and reading it back.
 
     A written table survives lost executors, and everything downstream sees one
-    and the same evaluation of `df`.
+    and the same evaluation of `df`. Used where a result feeds several plans.
     """
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables `materialize` wrote in this session; frames over them end here."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -244,7 +244,7 @@ def two_tower_lists(spark, d):
     s AS (SELECT a.vec_id AS user_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 9) AS score
           FROM e a CROSS JOIN e b WHERE a.vec_id <> b.vec_id)
     SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,
-               md5('{SEED}:' || cast(item_id AS varchar)), item_id) AS rank, round(score, 6) AS score
+               md5('{SEED}:' || cast(item_id AS varchar)), item_id) AS rank, score
     FROM s QUALIFY rank <= {K}
     """,
 )
@@ -254,7 +254,7 @@ def vector_top_k(spark, d):
     users = vectors.select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector"))
     items = vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     own = users.select("user_id", F.col("user_id").alias("item_id"))
-    return vector_search.exact_top_k(users, items, K, own, SEED).withColumn("score", F.round("score", 6))
+    return vector_search.exact_top_k(users, items, K, own, SEED)
 
 
 @query(

@@ -65,12 +65,29 @@ def feature_events(interactions: DataFrame, items: DataFrame, sources=("standard
     return interactions.filter(F.col("source").isin(*sources)).join(authors, "item_id", "left")
 
 
-def _measures(interactions: DataFrame) -> list[F.Column]:
+def _measures(events: DataFrame) -> list[F.Column]:
+    if set(MEASURES) <= set(events.columns):  # already summed
+        return [F.col(name) for name in MEASURES]
     return [
         (F.lit(1) if source is None else F.col(source)).cast("double").alias(name) for name, source in MEASURES.items()
     ]
 
 
+def view_events(interactions: DataFrame, items: DataFrame, view: FeatureView | None, sources=("standard",)) -> DataFrame:
+    """What one view aggregates: raw events, or daily sums per item joined with their author.
+
+    Only author views need the item table. Their events are summed per item and
+    day before the join, so a very popular item joins as one row per day.
+    """
+    events = interactions.filter(F.col("source").isin(*sources))
+    if view is None or "author_id" not in view.keys:
+        return events
+    others = [k for k in view.keys if k != "author_id"]
+    per_item = events.select(*others, "item_id", "date", *_measures(events))
+    per_item = per_item.groupBy(*others, "item_id", "date").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return per_item.join(items.select("item_id", "author_id"), "item_id")
+
+
 def _known(keys: tuple[str, ...]) -> F.Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
@@ -211,17 +228,17 @@ def historical_features(
     DataFrame property: carry a row id where an order matters.
     """
     params = params or FeatureParams()
-    events = feature_events(interactions, items, params.sources)
     asked = examples.select("user_id", "item_id", "date").join(items.select("item_id", "author_id"), "item_id", "left")
-    rates = global_rates(events, asked)
+    rates = global_rates(view_events(interactions, items, None, params.sources), asked)
     out = static_features(examples, items, users, params.leaky_columns)
     for view in VIEWS:
+        events = view_events(interactions, items, view, params.sources)
         features = view_features(events, asked, view, rates, params)
         keys = [("item_author_id" if k == "author_id" else k) for k in view.keys]
         renamed = features.withColumnRenamed("author_id", "item_author_id")
         out = out.join(renamed, [*keys, "date"], "left")
     check_leakage(out, params.leaky_columns)
-    passed = [c for c in examples.columns]
+    passed = examples.columns
     return out.select(*passed, *[c for c in out.columns if c not in passed])
 
 

@@ -19,6 +19,7 @@ from reelspark.functions.expressions import (
     local_timestamp,
     parse_day,
 )
+from reelspark.session import broadcast_if_small, materialize
 from reelspark.sources.fixtures import FLAGS
 
 # The summary tables and the display order of bucket labels.
@@ -70,9 +71,13 @@ def with_clocks(staged: DataFrame) -> DataFrame:
 
 
 def base_rows(staged: DataFrame) -> DataFrame:
-    """Staged rows with clocks and the pool flag on every row."""
-    pool = random_pool(staged).withColumn("_pooled", F.lit(True))
-    flagged = with_clocks(staged).join(pool, "video_id", "left")
+    """Staged rows with clocks and the pool flag on every row.
+
+    The pool is written out and counted, so that the whole log is shuffled for
+    the flag only where the pool is too large to broadcast.
+    """
+    pool = materialize(random_pool(staged).withColumn("_pooled", F.lit(True)), "pool")
+    flagged = with_clocks(staged).join(broadcast_if_small(pool), "video_id", "left")
     return flagged.withColumn("in_pool", F.col("_pooled").isNotNull()).drop("_pooled")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import tie_key
+from reelspark.session import broadcast_if_small
 
 _SLOT_CHUNK = 10_000
 
@@ -80,7 +81,11 @@ def walk_shared_order(users: DataFrame, k: int, exclusions: DataFrame, ranked: D
         barred, ["user_id", "position"], "left_anti"
     )
     listed = top_k(open_slots, k, -F.col("position"), [])
-    return listed.join(ranked, "position").select("user_id", "item_id", "rank")
+    # every user lists the same few positions, so the head they reach is
+    # broadcast if it is short and looked up by a skew-split join if not
+    longest = barred.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    head = broadcast_if_small(ranked.filter(F.col("position") <= longest + k))
+    return listed.join(head, "position").select("user_id", "item_id", "rank")
 
 
 def dense_recommend(

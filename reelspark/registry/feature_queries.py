@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import point_in_time as pit
 from reelspark.params import FeatureParams
 from reelspark.registry.common import query, view
-from reelspark.session import scratch_path
+from reelspark.session import materialize, scratch_path
 from reelspark.sources import fixtures
 
 PARAMS = FeatureParams()
@@ -111,9 +111,10 @@ def _rounded(df):
 
 
 def _view_frame(spark, d, name):
-    _, _, events, asked = _inputs(spark, d)
+    large, items, _, asked = _inputs(spark, d)
     feature_view = next(v for v in pit.VIEWS if v.name == name)
-    rates = pit.global_rates(events, asked)
+    rates = pit.global_rates(pit.view_events(large, items, None), asked)
+    events = pit.view_events(large, items, feature_view)
     return _rounded(pit.view_features(events, asked, feature_view, rates, PARAMS))
 
 
@@ -281,6 +282,7 @@ def assembly_nulls(spark, d):
 
 def _features(spark, d):
     large, items, _, _ = _inputs(spark, d)
+    large = materialize(large, "interactions")  # the processed table, as a user would have it
     examples = large.filter(F.col("split") == "test").select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
     return pit.historical_features(examples, large, items, fixtures.users(spark, d), PARAMS)
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of narrow (id, number) tables a broadcast may hold: some tens of megabytes.
+BROADCAST_ROWS = 1_000_000
 
 # Settings the operators rely on. AQE splits skewed join partitions and picks
 # broadcast joins from measured sizes, so no operator hints an unmeasured side.
@@ -16,8 +20,14 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A feature frame has some 130 columns; the default of 100 turns code generation off.
+    "spark.sql.codegen.maxFields": "400",
 }
 
+# Only a session builder can set this. Recording a call site per column
+# expression costs seconds on wide plans.
+BUILDER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators depend on."""
@@ -64,6 +74,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a stored table only when its counted rows allow it.
+
+    Beyond the limit the join is left to Spark's shuffle joins.
+    """
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables `materialize` wrote in this session; frames over them end here."""
     jvm = spark.sparkContext._jvm

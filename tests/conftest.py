@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from reelspark.session import configure, release  # noqa: E402
+from reelspark.session import BUILDER_SETTINGS, configure, release  # noqa: E402
 
 DAY0 = date(2024, 3, 1)
 
@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(map=BUILDER_SETTINGS)
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

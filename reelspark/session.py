@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,14 +40,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, which the cluster sets.
 
-    Only where nothing is set (a local session) is a temporary folder made, and
-    registered as the checkpoint folder.
+    A local session that sets nothing gets a temporary folder, registered as the
+    checkpoint folder. On a cluster that folder would exist once per machine and
+    reads would miss files, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
         path = context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="reelspark-")
         context.setCheckpointDir(path)
     elif context.getCheckpointDir() is None:

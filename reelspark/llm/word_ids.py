@@ -22,7 +22,7 @@ MAX_CHUNKS = 400_000
 #: Chunks above this many characters are not remembered.
 MAX_CHUNK_CHARS = 128
 #: Documents are handled together up to so many characters; longer ones in pieces of this size, cut at white space.
-BLOCK_BYTES = 4 << 20
+BLOCK_CHARS = 4 << 20
 
 _WHITE = re.compile("[ \\t\\n\\r\\x0b\\x0c]")
 # Chunks of letters, digits and signs whose runs this module can tell by itself: no
@@ -105,8 +105,8 @@ def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
 
 
-def groups(texts: Iterable[str | None]) -> Iterator[tuple[list[str], bool]]:
-    """Texts (null: empty) in lists of about BLOCK_BYTES; a longer text comes in pieces, each alone.
+def groups(texts: Iterable[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[list[str], bool]]:
+    """Texts (null: empty) in lists of about `limit` characters; a longer text comes in pieces, each alone.
 
     The flag says that more of the same text follows.
     """
@@ -114,13 +114,13 @@ def groups(texts: Iterable[str | None]) -> Iterator[tuple[list[str], bool]]:
     size = 0
     for text in texts:
         text = text or ""
-        if len(text) > BLOCK_BYTES:
+        if len(text) > limit:
             if group:
                 yield group, False
                 group, size = [], 0
             start = 0
-            while len(text) - start > BLOCK_BYTES:
-                ahead = _WHITE.search(text, start + BLOCK_BYTES)
+            while len(text) - start > limit:
+                ahead = _WHITE.search(text, start + limit)
                 if not ahead:
                     break
                 yield [text[start : ahead.end()]], True
@@ -129,7 +129,7 @@ def groups(texts: Iterable[str | None]) -> Iterator[tuple[list[str], bool]]:
             continue
         group.append(text)
         size += len(text)
-        if size > BLOCK_BYTES:
+        if size > limit:
             yield group, False
             group, size = [], 0
     if group:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelspark.llm import exact_dedup, packing, simple8b
+from reelspark.llm import exact_dedup, packing, simhash, simple8b, toxicity
 from reelspark.llm.common import table
 
 QUERIES: dict = {}
@@ -28,6 +29,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read(simple8b.write(docs, public_tokenizers.path("word_bpe_49k.json")).df)
 
 
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_convolutional_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.default_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op5_sum_of_squares_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

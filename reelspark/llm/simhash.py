@@ -78,8 +78,9 @@ def near_components(points: DataFrame) -> DataFrame:
     bits = F.col("bits")
     equal = points.select("bits", F.explode(F.array(*[_segment(bits, f, n) + F.lit(s << 32) for s, (f, n) in enumerate(SEGMENTS)])).alias("key"))
     bucket = Window.partitionBy("key")
-    others = F.array(F.min("bits").over(bucket), F.max("bits").over(bucket), F.lag("bits").over(bucket.orderBy("bits")))
-    stars = equal.select("bits", F.explode(others).alias("other")).where(_near(bits, F.col("other")))
+    others = equal.select("bits", F.min("bits").over(bucket).alias("low"), F.max("bits").over(bucket).alias("high"),
+                          F.lag("bits").over(bucket.orderBy("bits")).alias("last"))
+    stars = others.select("bits", F.explode(F.array("low", "high", "last")).alias("other")).where(_near(bits, F.col("other")))
     first, _ = components(stars.select(bits.alias("u"), F.col("other").alias("v")))
     labelled = points.join(first, bits == F.col("node"), "left").select("bits", F.coalesce("component", "bits").alias("label"))
     labelled = Stored(labelled, "labelled").df

@@ -162,5 +162,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     No shuffle: every input partition is a stream of its own, with at most one sequence of
     each power of two at its end.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # As text, since pandas would turn a column of numbers and nulls into floats.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(_packer(tokenizer, end_id, window, tolerance, least), PIECES)

@@ -128,41 +128,42 @@ class Encoder:
     def segment(self, chunk: str) -> list[int]:
         """Ids of a chunk; characters in no piece become their bytes, or the unknown id."""
         n = len(chunk)
-        score = [0.0] + [-np.inf] * n
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        scores, by_merges, beside = self.pieces.scores, self.pieces.by_merges, self.beside
-        done = 0
-        for end, (length, piece) in self.matches.iter(chunk):
-            end += 1
-            while done < end - 1:
-                done = self._close(chunk, done, score, last, size)
-            begin = end - length
-            total = score[begin] + scores[piece]
-            if total > score[end] or last[end] < 0:
-                before = last[begin]
-                if score[begin] == -np.inf or (by_merges and before >= 0 and not beside(before, piece)):
-                    continue
-                score[end], last[end], size[end] = total, piece, length
-        while done < n:
-            done = self._close(chunk, done, score, last, size)
+        last, size = [-1] * (n + 1), [1] * (n + 1)
+        (self._relax_merges if self.pieces.by_merges else self._relax_scores)(chunk, last, size)
         out: list[int] = []
         at = n
         while at:
             if last[at] >= 0:
                 out.append(last[at])
-                at -= size[at]
             else:
-                at -= 1
-                out += reversed(self._spelled(chunk[at]))
+                out += reversed(self._spelled(chunk[at - 1]))
+            at -= size[at]
         return out[::-1]
 
-    def _close(self, chunk: str, done: int, score: list, last: list, size: list) -> int:
-        """Position `done + 1` gets no more pieces: one that none reaches ends an unknown character."""
-        done += 1
-        if last[done] < 0 and chunk[done - 1] not in self.pieces.ids:
-            score[done], size[done] = (score[done - 1] if score[done - 1] > -np.inf else 0.0) - 1e6, 1
-        return done
+    def _relax_merges(self, chunk: str, last: list[int], size: list[int]) -> None:
+        """One piece at most is right at each position; where none ends, the character is unknown and nothing merges with it."""
+        pairs, beside = self.pairs, self.beside
+        for end, (length, piece) in self.matches.iter(chunk):
+            end += 1
+            if last[end] >= 0:
+                continue
+            before = last[end - length]
+            if before >= 0:
+                fine = pairs.get((before, piece))
+                if not (beside(before, piece) if fine is None else fine):
+                    continue
+            last[end], size[end] = piece, length
+
+    def _relax_scores(self, chunk: str, last: list[int], size: list[int]) -> None:
+        """The best sum of scores; a position that no piece reaches ends an unknown character, at a price no piece has."""
+        score, closed = [0.0] + [-np.inf] * len(chunk), 0
+        for end, (length, piece) in [*self.matches.iter(chunk), (len(chunk) - 1, (0, -1))]:
+            for at in range(closed + 1, end + 1):
+                if score[at] == -np.inf:
+                    score[at] = score[at - 1] - 1e6
+            closed, end = max(closed, end), end + 1
+            if piece >= 0 and score[end - length] + self.pieces.scores[piece] > score[end]:
+                score[end], last[end], size[end] = score[end - length] + self.pieces.scores[piece], piece, length
 
     def _spelled(self, character: str) -> list[int]:
         raw = character.encode()
@@ -228,38 +229,43 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     Needs doc_id and text, ignores other columns; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": list(load(model).encode(batch["text"]))})
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(load(model).encode(texts)), dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("ids"))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) of ids."""
+    """(doc_id, text) of ids; null ids count as none."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([load(model).decode(np.array([] if i is None else i, np.int64)) for i in rows], dtype=object)
+
+    return encoded.select("doc_id", run("ids").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [load(model).decode(np.asarray(i)) for i in batch["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+TRIP = "n_pieces long, ids_crc32 long, same boolean"
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, same): ids encoded in one pass, decoded and held against the text.
+    """(doc_id, n_pieces, ids_crc32, same): ids encoded, decoded again and held against the text.
 
-    `same` compares with the text as encoded: null as empty, marks of spaces as spaces, a
-    leading space that decoding takes for the one before the text restored.
+    `same` takes null as empty and marks of spaces in a text as the spaces that they encode as.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(TRIP)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = load(model)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch]
             ids = list(encoder.encode(texts))
             same = [encoder.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
             crc = [zlib.crc32(i.astype("<u4").tobytes()) for i in ids]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_pieces": [len(i) for i in ids], "ids_crc32": crc, "same": same})
+            yield pd.DataFrame({"n_pieces": [len(i) for i in ids], "ids_crc32": crc, "same": same})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean")
+    trip = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("trip"))
+    return trip.select("doc_id", "trip.*")

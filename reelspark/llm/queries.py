@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import exact_dedup, packing, pieces, simhash, simple8b, token_counts, toxicity
+from reelspark.llm import exact_dedup, licences, packing, pieces, sharding, simhash, simple8b, token_counts, toxicity
 from reelspark.llm.common import table
 
 QUERIES: dict = {}
@@ -60,11 +60,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+SHARDS, SLOTS = {f"shard-{i:02d}": 1 for i in range(16)}, 4099
+
+
+@query(
+    "op7_lookup_sharding",
+    # One turn a step: the claimer takes the first free slot of its order; orders are made once.
+    f"""
+    WITH RECURSIVE shards AS (
+        SELECT i, 'shard-' || lpad(cast(i AS varchar), 2, '0') AS shard FROM range({len(SHARDS)}) r(i)
+    ), orders AS (
+        SELECT list(preference ORDER BY i) AS preferences, list(shard ORDER BY i) AS names
+        FROM (SELECT i, shard, [(o + j * s) % {SLOTS} FOR j IN range({SLOTS})] AS preference
+              FROM (SELECT i, shard, cast('0x' || substr(md5(shard || ':offset'), 1, 13) AS bigint) % {SLOTS} AS o,
+                           cast('0x' || substr(md5(shard || ':step'), 1, 13) AS bigint) % {SLOTS - 1} + 1 AS s FROM shards))
+    ), turns AS (
+        SELECT cast(0 AS bigint) AS turn, cast(-1 AS bigint) AS slot, [false FOR j IN range({SLOTS})] AS taken
+        UNION ALL
+        SELECT turn + 1, claim, taken[:claim] || [true] || taken[claim + 2:]
+        FROM (SELECT turn, taken, [p FOR p IN preferences[turn % {len(SHARDS)} + 1] IF NOT taken[p + 1]][1] AS claim
+              FROM turns, orders WHERE turn < {SLOTS})
+    )
+    SELECT doc_id, cast(t.slot AS integer) AS slot, names[(turn - 1) % {len(SHARDS)} + 1] AS shard
+    FROM (SELECT doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '')), 1, 13) AS bigint) % {SLOTS} AS slot FROM documents) d
+    JOIN turns t ON t.slot = d.slot, orders
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op9_licence_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -159,6 +159,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1) -> Stored:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # As text, since pandas would turn a column of numbers and nulls into floats.
+    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return Stored(ordered.mapInPandas(_frames(tokenizer, end_id), FRAMES), "simple8b")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import exact_dedup, licences, packing, pieces, sharding, simhash, simple8b, token_counts, toxicity
+from reelspark.llm import exact_dedup, licences, packing, pieces, rp_forest, sharding, simhash, simple8b, token_counts, toxicity
 from reelspark.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query(
+    "op1_rp_forest_near_dedup",
+    """
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, label, len(embedding) AS dim, cast(embedding AS double[]) AS v FROM embeddings
+        WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+    ), reached AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings
+        UNION
+        SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+    )
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings
+    LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id
+    JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON r.a = vec_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_simple8b_output")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -85,6 +85,8 @@ def near_components(points: DataFrame) -> DataFrame:
     labelled = points.join(first, bits == F.col("node"), "left").select("bits", F.coalesce("component", "bits").alias("label"))
     labelled = Stored(labelled, "labelled").df
 
+    # Two numbers a row become 67 keys: dealt out evenly first, or the few files of the table were the only tasks.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, sides = [], []
     for s, (start, n) in enumerate(SEGMENTS):
         segment = _segment(bits, start, n)
@@ -93,7 +95,7 @@ def near_components(points: DataFrame) -> DataFrame:
         for i in range(n):
             keys.append(segment.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << i))) + F.lit((3 + start + i) << 32))
             sides.append(_segment(bits, start + i, 1) == 1)
-    index = labelled.select("bits", "label", F.explode(F.arrays_zip(F.array(*keys).alias("key"), F.array(*sides).alias("side"))).alias("k"))
+    index = labelled.repartition(tasks).select("bits", "label", F.explode(F.arrays_zip(F.array(*keys).alias("key"), F.array(*sides).alias("side"))).alias("k"))
     index = index.select("bits", "label", F.col("k.key").alias("key"), F.col("k.side").alias("side"))
     a = index.where("side is null or not side").select("key", bits.alias("a"), F.col("label").alias("u"), F.col("side").isNull().alias("whole"))
     b = index.where("side is null or side").select("key", bits.alias("b"), F.col("label").alias("v"))

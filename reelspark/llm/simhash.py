@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from reelspark.llm.common import Stored, components
 
@@ -54,15 +55,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits): `bits` is the fingerprint as a signed long."""
+@F.pandas_udf(LongType())
+def _bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": found})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, bits long")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, bits): `bits` is the fingerprint as a signed long."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bits("text").alias("bits"))
 
 
 def _segment(bits: Column, first: int, n: int) -> Column:
@@ -128,12 +129,16 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its class, all columns as they are.
 
-    A class of null doc_ids alone keeps its rows.
+    Rows with the same doc_id stay or go together. Rows without one stay only where their
+    whole class has none.
     """
     made, smallest = _classes(docs)
     name = f"kept_{uuid.uuid4().hex[:8]}"
     # The kept doc_id is part of the key, so copies do not meet in one task.
     least = smallest.withColumnRenamed("bits", "of")
-    same = (F.col("bits") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    same = (F.col("bits") == F.col("of")) & (F.col("doc_id") == F.col("component_id"))
     kept = made.join(least, same, "left_semi").select(F.col("doc_id").alias(name))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
+    numbered = docs.join(kept, docs["doc_id"].cast("long") == F.col(name), "left_semi")
+    nameless = smallest.where("component_id is null").select(F.col("bits").alias(name))
+    marked = docs.where("doc_id is null").withColumn(f"{name}_bits", _bits("text"))
+    return numbered.union(marked.join(nameless, F.col(f"{name}_bits") == F.col(name), "left_semi").drop(f"{name}_bits"))

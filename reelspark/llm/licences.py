@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.word_ids import Codes, chunks, groups
 
-BUCKETS, NGRAMS, WINDOW = 1 << 16, 3, 60
+BUCKETS, NGRAMS, WINDOW = 1 << 16, 3, 24
 SHINGLE, SIMILARITY = 5, 0.8
 UNKNOWN = "unknown"
 #: Documents, of up to so many characters, whose paragraphs are the sample of the unknown class.
@@ -173,7 +173,7 @@ def variants(random: np.random.Generator, fillers: list[str], n: int = 25) -> tu
                 if k % 4 == 2 and len(now) > 5:
                     now.pop(int(random.integers(len(now))))
                 if k % 2 and fillers:
-                    around = [fillers[i] for i in random.integers(0, len(fillers), int(random.integers(1, 12)))]
+                    around = [fillers[i] for i in random.integers(0, len(fillers), int(random.integers(1, max(2, WINDOW - len(now)))))]
                     at = int(random.integers(0, len(around) + 1))
                     now = around[:at] + now + around[at:]
                 units.append(now)
@@ -181,7 +181,7 @@ def variants(random: np.random.Generator, fillers: list[str], n: int = 25) -> tu
     return units, labels
 
 
-def fit(texts: list[str | None], seed: int = 5, epochs: int = 40) -> Model:
+def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
     """A model from the templates and the paragraphs of `texts`, which count as unknown unless they look like a template."""
     random = np.random.default_rng(seed)
     unknown: list[list[str]] = []
@@ -203,7 +203,7 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 40) -> Model:
     weight = np.where(held, 0, 1 / np.sqrt(np.maximum(share, 1))[y])
     weight /= weight.sum()
     seen = np.flatnonzero(~held[owner])
-    square, b_square = np.full_like(model.weights, 1e-8), np.full_like(model.bias, 1e-8)
+    square, b_square = np.full_like(model.weights, 1e-14), np.full_like(model.bias, 1e-14)
     for _ in range(epochs):
         error = model.probabilities(buckets, begins, lengths)
         error[np.arange(len(y)), y] -= 1
@@ -223,7 +223,7 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 40) -> Model:
     # Above nearly all unknown paragraphs, below nearly all notices; between them when that is possible.
     high = np.quantile(best[y[held] == 0], 0.999) if (y[held] == 0).any() else 0.5
     low = np.quantile(best[y[held] > 0], 0.02)
-    model.threshold = float(np.clip(min((high + low) / 2, low), 0.2, 0.9))
+    model.threshold = float(np.clip(min((high + low) / 2, low), 0.005, 0.9))
     return model
 
 
@@ -281,7 +281,10 @@ class Scanner:
                 line, seen = owner[i], set()
                 line_words = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[line]) if (w := plain(c))]
             family = FAMILIES[best[i]]
-            close = similarity(line_words[start[i] : start[i] + lengths[i]], family)
+            a, b = int(start[i]), int(start[i] + lengths[i])
+            # A notice may reach over the window's ends.
+            wide = line_words[max(0, a - WINDOW) : b + WINDOW]
+            close = max(similarity(line_words[a:b], family), similarity(wide, family))
             # Overlapping windows of a line tell of the same notice.
             if close >= SIMILARITY and family not in seen:
                 seen.add(family)

@@ -155,12 +155,12 @@ class Encoder:
             last[end], size[end] = piece, length
 
     def _relax_scores(self, chunk: str, last: list[int], size: list[int]) -> None:
-        """The best sum of scores; a position that no piece reaches ends an unknown character, at a price no piece has."""
+        """The best sum of scores; a character that is no piece may stand as unknown, at a price no piece has."""
         score, closed = [0.0] + [-np.inf] * len(chunk), 0
-        for end, (length, piece) in [*self.matches.iter(chunk), (len(chunk) - 1, (0, -1))]:
+        for end, (length, piece) in [*self.matches.iter(chunk), (len(chunk), (0, -1))]:
             for at in range(closed + 1, end + 1):
-                if score[at] == -np.inf:
-                    score[at] = score[at - 1] - 1e6
+                if chunk[at - 1] not in self.pieces.ids and score[at - 1] - 1e6 > score[at]:
+                    score[at], last[at], size[at] = score[at - 1] - 1e6, -1, 1
             closed, end = max(closed, end), end + 1
             if piece >= 0 and score[end - length] + self.pieces.scores[piece] > score[end]:
                 score[end], last[end], size[end] = score[end - length] + self.pieces.scores[piece], piece, length
@@ -179,7 +179,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text (null: empty), in order; spaces count as their mark, one stands before the text."""
-        first, begun = True, []
+        first, begun, carried = True, [], ""
         for group, more in groups(texts):
             if self.codes.full:
                 self._reset()
@@ -194,17 +194,20 @@ class Encoder:
             rows = np.full(len(words), -1, np.int64)
             rows[asked] = self.codes.of([SPACE + words[i] for i in asked.tolist()])
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                # The space before a later piece of a long text ended the piece before it.
-                if ok[k] and first and not more:
-                    ids = self.ids.gather(rows[which[a:b]])[0]
-                else:
-                    marked = (SPACE * first + group[k].replace(" ", SPACE)) if group[k] else ""
-                    ids = self._looked_up(_CHUNKS.findall(marked))
-                begun.append(ids)
-                first = not more
+                if ok[k] and first and not more and not carried:
+                    yield self.ids.gather(rows[which[a:b]])[0]
+                    continue
+                text, carried = carried + group[k], ""
+                if more:
+                    # What follows the last begin of a space goes with the next piece of the text.
+                    cut = len(text[: text.rfind(" ") + 1].rstrip(" "))
+                    text, carried = text[:cut], text[cut:]
+                if text:
+                    begun.append(self._looked_up(_CHUNKS.findall((SPACE * first + text).replace(" ", SPACE))))
+                    first = False
                 if not more:
-                    yield np.concatenate(begun)
-                    begun = []
+                    yield np.concatenate([self.ids.flat[:0], *begun])
+                    first, begun = True, []
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for: without control pieces and the space before the text."""

@@ -101,8 +101,13 @@ class Codes:
 def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks between ASCII white space, for each chunk its place among them, and each text's end in chunks."""
     lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()[1:]
+    real = pc.not_equal(flat, "")  # white space at an end, and nothing at all, give empty chunks
+    if not pc.all(real, min_count=0).as_py():
+        ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends]
+        flat = flat.filter(real)
+    coded = flat.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
 
 
 def groups(texts: Iterable[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[list[str], bool]]:

@@ -1,42 +1,48 @@
 """Order statistics that stay distributed: ranks, Gini, AUC, quantiles, bootstrap.
 
 None of them sorts raw rows in one task. Each first shrinks its input to a
-histogram, orders the histogram inside deterministic buckets, and then combines
-one small row per bucket.
+histogram, orders the histogram inside parts of about equal size, and then
+combines one small row per part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import hash_number
-
-# Ordered buckets per doubling of a value; doubles span 2,100 doublings, so a
-# group has at most about 67,000 buckets whatever its data look like.
-_PER_OCTAVE = 16
-_BUCKET_SHIFT = 20_000
+from reelspark.session import materialize
 
 _PRIME = 2_147_483_647  # 2^31 - 1
-# Cumulative Poisson(1) probabilities for 0, 1, 2, … occurrences.
-POISSON_CDF = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-)
+_HALF, _LOW = 1 << 26, 1 << 21
+# Numbers each bootstrap replicate draws for itself.
+CONSTANTS = ("m1", "m2", "a1", "m3", "m4", "a2")
+
+
+def _poisson_cdf() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities of 0, 1, 2, … until a 52-bit uniform number cannot exceed them."""
+    term, total, out = math.exp(-1), 0.0, []
+    while not out or 1 - out[-1] >= 2**-52:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return tuple(out)
+
 
+POISSON_CDF = _poisson_cdf()
 
-def ordered_bucket(value: Column) -> Column:
-    """Logarithmic bucket number that never decreases as `value` grows."""
-    size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _BUCKET_SHIFT
-    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
+
+def ordered_parts(df: DataFrame, value: str, name: str) -> DataFrame:
+    """`df`, stored, with `_bucket`: numbers of parts that follow the order of `value` and hold about equally many rows.
+
+    Spark samples the values and deals out ranges of them, so near-equal values are spread
+    as well as any others; one value stays together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, value).withColumn("_bucket", F.spark_partition_id()), name)
 
 
 def concentration(histogram: DataFrame, by: list[str]) -> DataFrame:
@@ -106,9 +112,8 @@ def grouped_auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFra
     are counted from a running sum there, pairs across buckets from bucket totals.
     """
     y = F.col(label).cast("bigint")
-    scores = df.groupBy(*by, F.col(score).alias("_score")).agg(
-        F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")
-    ).withColumn("_bucket", ordered_bucket(F.col("_score")))
+    scores = df.groupBy(*by, F.col(score).alias("_score")).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+    scores = ordered_parts(scores, "_score", "scores")
     inside = Window.partitionBy(*by, "_bucket").orderBy("_score")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
@@ -181,8 +186,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bucket", ordered_bucket(F.col("_v")))
     )
+    values = ordered_parts(values, "_v", "values")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = (Window.unboundedPreceding, -1)
     buckets = (
@@ -211,14 +216,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     )
 
 
-def _replicate_constants(seed, n_boot: int) -> list[tuple[int, int, int]]:
+def _replicate_constants(seed, n_boot: int) -> list[tuple[int, ...]]:
     def number(text: str) -> int:
-        return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+        return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) % _PRIME
 
-    return [
-        (b, number(f"{seed}:mul:{b}") % (_PRIME - 1) + 1, number(f"{seed}:add:{b}") % _PRIME)
-        for b in range(1, n_boot + 1)
-    ]
+    return [(b, *[number(f"{seed}:{name}:{b}") for name in CONSTANTS]) for b in range(1, n_boot + 1)]
 
 
 def poisson_count(uniform: Column) -> Column:
@@ -238,19 +240,25 @@ def bootstrap_means(
     function of its key alone, so replicates are aggregated map-side and at most
     `n_boot` rows per task are shuffled.
     """
+    names = ("b", *CONSTANTS)
     constants = F.array(
         *[
-            F.struct(F.lit(b).alias("b"), F.lit(m).cast("bigint").alias("m"), F.lit(c).cast("bigint").alias("c"))
-            for b, m, c in _replicate_constants(seed, n_boot)
+            F.struct(*[F.lit(v).cast("bigint").alias(name) for name, v in zip(names, values)])
+            for values in _replicate_constants(seed, n_boot)
         ]
     )
     keyed = groups.select(
         *by,
         F.col(value).cast("double").alias("_v"),
         F.col(weight).cast("double").alias("_w"),
-        (hash_number(seed, *[F.col(k) for k in key]) % _PRIME).alias("_h"),
+        hash_number(seed, *[F.col(k) for k in key]).alias("_h"),
     ).withColumn("_r", F.explode(constants))
-    uniform = ((F.col("_h") * F.col("_r.m") + F.col("_r.c")) % _PRIME) / F.lit(float(_PRIME))
+    # Both halves of the 52-bit hash enter every replicate with factors of its own, so two
+    # groups never share all their draws; two such numbers make 52 bits.
+    high, low = F.floor(F.col("_h") / _HALF), F.col("_h") % _HALF
+    first = (high * F.col("_r.m1") + low * F.col("_r.m2") + F.col("_r.a1")) % _PRIME
+    second = (high * F.col("_r.m3") + low * F.col("_r.m4") + F.col("_r.a2")) % _PRIME
+    uniform = (first * _LOW + second % _LOW) / F.lit(float(1 << 52))
     drawn = keyed.select(*by, F.col("_r.b").alias("replicate"), "_v", "_w", poisson_count(uniform).alias("_times"))
     return drawn.groupBy(*by, "replicate").agg(
         (F.sum(F.col("_w") * F.col("_v") * F.col("_times")) / F.nullif(F.sum(F.col("_w") * F.col("_times")), F.lit(0.0)))

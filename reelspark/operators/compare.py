@@ -390,44 +390,37 @@ def part_files(profiles: Profiles, release: str = "full") -> DataFrame:
     need(profiles, release)
     tables = profiles[release]
     files = tables["files"].select("file_id", "file", "source", "min_date", "users", "min_user_id", "max_user_id")
-    other = files.select(F.col("file_id").alias("_sibling"), "source", "min_date")
-    # the list of files, a few rows, joined with itself
-    siblings = files.join(other, ["source", "min_date"]).filter("file_id <> _sibling").select("file_id", "_sibling")
+    parts = Window.partitionBy("source", "min_date")
+    files = files.withColumn("_siblings", F.count(F.lit(1)).over(parts) - 1)  # a row a file
     activity = (
         tables["user_activity"]
         .filter(F.col("user_id").isNotNull())
         .groupBy("file_id", "user_id")
         .agg(F.sum("rows").alias("_rows"), F.sum("date_mismatches").alias("_bad"))
+        .join(files.select("file_id", "source", "min_date"), "file_id")
     )
-    elsewhere = (
-        activity.select(F.col("file_id").alias("_sibling"), "user_id")
-        .join(siblings, "_sibling")
-        .select("file_id", "user_id")
-        .distinct()
-        .withColumn("_shared", F.lit(1))
-    )
+    # a user has one row a file here, so the window holds as many rows as a user has files
+    of_user = Window.partitionBy("source", "min_date", "user_id")
+    activity = activity.withColumn("_shared", F.count(F.lit(1)).over(of_user) > 1)
     bad = F.col("_bad") > 0
     per_file = (
-        activity.join(elsewhere, ["file_id", "user_id"], "left")
-        .groupBy("file_id")
+        activity.groupBy("file_id")
         .agg(
-            F.count("_shared").alias("_shared"),
+            F.count_if("_shared").alias("_shared"),
             F.count_if(bad).alias("users_with_mismatches"),
             _ratio(F.sum(F.when(bad, F.col("_bad"))), F.sum(F.when(bad, F.col("_rows")))).alias(
                 "mismatch_rate_among_those_users"
             ),
         )
     )
-    has_sibling = siblings.select("file_id").distinct().withColumn("_paired", F.lit(True))
     return (
         files.join(per_file, "file_id", "left")
-        .join(has_sibling, "file_id", "left")
         .select(
             "file",
             "users",
             "min_user_id",
             "max_user_id",
-            F.when(F.col("_paired"), F.coalesce("_shared", F.lit(0))).alias("users_also_in_sibling"),
+            F.when(F.col("_siblings") > 0, F.coalesce("_shared", F.lit(0))).alias("users_also_in_sibling"),
             F.coalesce("users_with_mismatches", F.lit(0)).alias("users_with_mismatches"),
             "mismatch_rate_among_those_users",
         )

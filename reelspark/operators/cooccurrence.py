@@ -117,7 +117,7 @@ class ItemCooccurrence(Recommender):
             .agg(F.sum("units").alias("units"))
         )
 
-    def recommend(self, users, k, exclusions, available, seed, max_dense_scores=None) -> DataFrame:
+    def recommend(self, users, k, exclusions, available, seed) -> DataFrame:
         """Best k of the neighbours and the k most popular items not excluded.
 
         Similarities are not negative, so an item outside both sets has k items

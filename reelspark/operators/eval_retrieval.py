@@ -122,7 +122,6 @@ def evaluate_retrieval(
     exclude_fit_positives: bool = True,
     diversity_k: int = 10,
     seed: int = 0,
-    max_dense_scores: int | None = None,
     width: int | None = None,
 ) -> DataFrame:
     """Retrieval metrics of a fitted model for one label: `(metric, k, value)`.
@@ -136,9 +135,7 @@ def evaluate_retrieval(
     targets, exclusions = retrieval_targets(eval_df, fit_df, label, catalog, available, users, exclude_fit_positives)
     people = targets.select("user_id").distinct()
     # the lists feed the per-user and the per-item metrics
-    recommended = materialize(
-        model.recommend(people, width, exclusions, available, seed, max_dense_scores), "recommended"
-    )
+    recommended = materialize(model.recommend(people, width, exclusions, available, seed), "recommended")
     described = hit_lists(recommended, targets).join(item_information(fit_df, catalog), "item_id")
     metrics = _mean_metrics(user_metrics(described, targets, ks, width, diversity_k))
     spread = list_concentration(recommended, available, ks).select(

@@ -95,9 +95,9 @@ def manifest(interactions: DataFrame, items: DataFrame, leaky_columns=()) -> Dat
 
 def ingest(logs: DataFrame, users: DataFrame, raw_items: DataFrame, splits, leaky_columns=()) -> dict[str, DataFrame]:
     """Check the raw inputs, then return the processed tables."""
-    contracts.missing_columns(logs, LOG_COLUMNS, "logs")
-    contracts.missing_columns(users, USER_COLUMNS, "users")
-    contracts.missing_columns(raw_items, ITEM_COLUMNS, "items")
+    contracts.require_columns(logs.columns, LOG_COLUMNS, "logs")
+    contracts.require_columns(users.columns, USER_COLUMNS, "users")
+    contracts.require_columns(raw_items.columns, ITEM_COLUMNS, "items")
     contracts.enforce(contracts.log_violations(logs))
     interactions = normalize_logs(logs, splits)
     items = project_items(raw_items, leaky_columns)

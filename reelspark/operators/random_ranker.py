@@ -34,7 +34,7 @@ class RandomRecommender(Recommender):
         known = pairs.join(self.catalog.select("item_id"), "item_id", "left_semi")
         return known.withColumn("score", hash_uniform(self.seed, F.col("user_id"), F.col("item_id")))
 
-    def recommend(self, users, k, exclusions, available, seed, max_dense_scores=None) -> DataFrame:
+    def recommend(self, users, k, exclusions, available, seed) -> DataFrame:
         """Each user walks the catalog from a hashed start by a hashed stride.
 
         Modulo a prime at or above the catalog size any stride visits distinct

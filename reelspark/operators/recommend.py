@@ -27,14 +27,8 @@ class Recommender:
     def score_pairs(self, pairs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def recommend(
-        self, users: DataFrame, k: int, exclusions: DataFrame, available: DataFrame, seed, max_dense_scores=None
-    ) -> DataFrame:
-        return dense_recommend(self, users, k, exclusions, available, seed, max_dense_scores)
-
-
-class DenseScoresRefused(RuntimeError):
-    """Whole-catalog scoring would exceed the agreed number of scores."""
+    def recommend(self, users: DataFrame, k: int, exclusions: DataFrame, available: DataFrame, seed) -> DataFrame:
+        raise NotImplementedError(f"{self.name} lists items by no path of its own; users are never paired with a whole catalog")
 
 
 def top_k(scores: DataFrame, k: int, order: Column, tie: list[Column], by: str = "user_id") -> DataFrame:
@@ -86,25 +80,3 @@ def walk_shared_order(users: DataFrame, k: int, exclusions: DataFrame, ranked: D
     longest = barred.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
     head = broadcast_if_small(ranked.filter(F.col("position") <= longest + k))
     return listed.join(head, "position").select("user_id", "item_id", "rank")
-
-
-def dense_recommend(
-    model: Recommender, users: DataFrame, k: int, exclusions: DataFrame, available: DataFrame, seed, max_dense_scores
-) -> DataFrame:
-    """Score every (user, available item) pair, for models without a path of their own.
-
-    The number of scores is checked first; above `max_dense_scores` this refuses.
-    """
-    if max_dense_scores:
-        n_users, n_items = users.count(), available.count()
-        if n_users * n_items > max_dense_scores:
-            raise DenseScoresRefused(
-                f"{model.name} has no recommend() of its own, and scoring {n_users:,} users x {n_items:,} items "
-                f"exceeds max_dense_scores={max_dense_scores:,}"
-            )
-    blocks = F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("int")
-    by_user = users.select("user_id").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    pairs = by_user.join(available.select("item_id", blocks.alias("_block")), "_block").drop("_block")
-    open_pairs = pairs.join(exclusions, ["user_id", "item_id"], "left_anti")
-    scored = model.score_pairs(open_pairs)
-    return top_k(scored, k, F.col("score"), item_tie(seed)).select("user_id", "item_id", "rank")

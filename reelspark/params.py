@@ -80,7 +80,6 @@ class EvalParams:
     users: str = "warm"
     exclude_fit_positives: bool = True
     diversity_k: int = 10
-    max_dense_scores: int = 10_000_000_000
     group_by: str = "user"
     gauc_weight: str = "impressions"
     bootstrap_samples: int = 200

@@ -58,7 +58,6 @@ def evaluate_models(
                         params.exclude_fit_positives,
                         params.diversity_k,
                         params.seed,
-                        params.max_dense_scores,
                         width,
                     )
                     parts.append(_tagged(retrieval.withColumn("label", F.lit(label)), name, model, "retrieval"))

@@ -56,6 +56,26 @@ def hash_sql(seed: str, *parts: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 13) as bigint)"
 
 
+# Profile labels with the values each takes, bounds included.
+DURATION_LABELS = ((None, 7_000, "0-7s"), (7_001, 18_000, "7-18s"), (18_001, 60_000, "18-60s"), (60_001, 180_000, "1-3min"), (180_001, None, "3min+"))
+AGE_LABELS = ((None, 0, "0d"), (1, 7, "1-7d"), (8, 30, "8-30d"), (31, 180, "31-180d"), (181, 365, "181-365d"), (366, None, "365d+"))
+
+
+def label_sql(value: str, labels) -> str:
+    """The label whose bounds hold a whole number, looked up in a table of them; `unknown` for null."""
+    rows = ", ".join(f"({'NULL' if a is None else a}, {'NULL' if b is None else b}, '{name}')" for a, b, name in labels)
+    return (
+        f"coalesce((SELECT l.name FROM (VALUES {rows}) l(low, high, name) "
+        f"WHERE {value} BETWEEN coalesce(l.low, {value}) AND coalesce(l.high, {value})), 'unknown')"
+    )
+
+
+def gini_sql(counts: str) -> str:
+    """Gini of a list of counts: the mean absolute difference of two members over twice their mean."""
+    grid = f"[list_sum([abs(a - b) FOR b IN {counts}]) FOR a IN {counts}]"
+    return f"list_sum({grid}) / (2.0 * len({counts}) * list_sum({counts}))"
+
+
 def tie_sql(seed, item: str) -> str:
     return f"md5('{seed}:' || cast({item} as varchar))"
 

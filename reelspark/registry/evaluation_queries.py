@@ -12,7 +12,7 @@ from reelspark.operators.popularity import MostPopular
 from reelspark.operators.random_ranker import RandomRecommender
 from reelspark.params import EvalParams
 from reelspark.plans import experiment
-from reelspark.registry.common import hash_sql, query, tie_sql, view
+from reelspark.registry.common import gini_sql, hash_sql, query, tie_sql, view
 from reelspark.registry.model_queries import AS_OF, K, SEED, Setting
 from reelspark.session import materialize, scratch_path
 from reelspark.sources import fixtures, logs
@@ -89,11 +89,9 @@ view(
 )
 view(
     "v_spread",
-    """
-    SELECT k, count(*) FILTER (n > 0) / count(*) AS coverage,
-           sum((2 * i - items - 1) * n) / (max(items) * sum(n)) AS gini
-    FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS i, count(*) OVER (PARTITION BY k) AS items
-          FROM v_counts) GROUP BY k
+    f"""
+    SELECT k, len([n FOR n IN counts IF n > 0]) / len(counts) AS coverage, {gini_sql('counts')} AS gini
+    FROM (SELECT k, list(n) AS counts FROM v_counts GROUP BY k)
     """,
     "v_counts",
 )
@@ -247,13 +245,15 @@ view(
 def _boot_sql(groups: str, value: str, weight: str) -> str:
     cdf = " ".join(f"WHEN u < {edge}::double THEN {i}" for i, edge in enumerate(stats.POISSON_CDF))
     b = "cast(b AS varchar)"
-    mul = f"cast('0x' || substr(md5('{SEED}:mul:' || {b}), 1, 13) AS bigint) % {PRIME - 1} + 1"
-    add = f"cast('0x' || substr(md5('{SEED}:add:' || {b}), 1, 13) AS bigint) % {PRIME}"
+    drawn_from = {name: f"cast('0x' || substr(md5('{SEED}:{name}:' || {b}), 1, 13) AS bigint) % {PRIME}" for name in stats.CONSTANTS}
+    consts = ", ".join(f"{sql} AS {name}" for name, sql in drawn_from.items())
     return f"""
-    WITH consts AS (SELECT b, {mul} AS m, {add} AS c FROM range(1, {N_BOOT + 1}) t(b)),
-    drawn AS (SELECT label, {value} AS v, {weight}::double AS w, b,
-                     (({hash_sql(str(SEED), 'group_id')} % {PRIME} * m + c) % {PRIME}) / {PRIME}.0::double AS u
-              FROM {groups}, consts),
+    WITH consts AS (SELECT b, {consts} FROM range(1, {N_BOOT + 1}) t(b)),
+    hashed AS (SELECT label, {value} AS v, {weight}::double AS w, {hash_sql(str(SEED), 'group_id')} AS h FROM {groups}),
+    drawn AS (SELECT label, v, w, b,
+                     ((((h // 67108864) * m1 + (h % 67108864) * m2 + a1) % {PRIME}) * 2097152
+                      + (((h // 67108864) * m3 + (h % 67108864) * m4 + a2) % {PRIME}) % 2097152) / 4503599627370496.0::double AS u
+              FROM hashed, consts),
     times AS (SELECT label, b, v, w, CASE {cdf} ELSE {len(stats.POISSON_CDF)} END AS x FROM drawn),
     means AS (SELECT label, b, sum(w * v * x) / nullif(sum(w * x), 0) AS mean FROM times GROUP BY label, b)
     SELECT label, round(quantile_cont(mean, 0.025), 7) AS ci_lo, round(quantile_cont(mean, 0.975), 7) AS ci_hi
@@ -366,10 +366,9 @@ def bootstrap_ndcg(spark, d):
 
 @query(
     "g17_gini",
-    """
-    SELECT split, round(sum((2 * i - items - 1) * n) / (max(items) * sum(n)), 8) AS gini
-    FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY n) AS i, count(*) OVER (PARTITION BY split) AS items
-          FROM (SELECT split, item_id, count(*) AS n FROM fx_large GROUP BY split, item_id)) GROUP BY split
+    f"""
+    SELECT split, round({gini_sql('counts')}, 8) AS gini
+    FROM (SELECT split, list(n) AS counts FROM (SELECT split, item_id, count(*) AS n FROM fx_large GROUP BY split, item_id) GROUP BY split)
     """,
     ("fx_large",),
 )

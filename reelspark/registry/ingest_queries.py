@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import expressions as X
 from reelspark.operators import catalog, contracts, ingest, point_in_time, profile
-from reelspark.registry.common import FLAG_NAMES, query
+from reelspark.registry.common import AGE_LABELS, DURATION_LABELS, FLAG_NAMES, label_sql, query
 from reelspark.session import scratch_path
 from reelspark.sources import fixtures, logs, tables
 
@@ -152,18 +152,23 @@ _TYPED = ", ".join(
 
 @query(
     "b1_missing_columns",
-    "SELECT 'video_id' AS missing, count(*) AS rows FROM fx_x",
-    ("fx_x",),
+    "SELECT 'log_standard_2.csv' AS file, 'is_click' AS missing, count(*) AS rows FROM fx_logged",
+    ("fx_logged",),
 )
 def missing_columns(spark, d):
-    """The processed table lacks raw names; the error names each of them."""
-    interactions = fixtures.interactions(spark, d)
+    """Of three log files one lacks a column; reading them names the file and the column."""
+    path = scratch_path(spark, "broken-csv")
+    raw = fixtures.raw_logs(spark, d, defects=False)
+    for file_id, name, _ in fixtures.RAW_FILES:
+        columns = [c for c in logs.LOG_COLUMNS if (file_id, c) != (1, "is_click")]
+        raw.filter(F.col("file_id") == file_id).select(*columns).write.option("header", True).csv(f"{path}/{name}")
     try:
-        contracts.missing_columns(interactions, ["user_id", "video_id", "date"], "logs")
-        found = ""
+        logs.read_logs(spark, [f"{path}/{n}" for _, n, _ in fixtures.RAW_FILES], [])
+        where = columns = ""
     except contracts.ContractError as error:
-        found = str(error).split("'")[1]
-    return interactions.agg(F.count(F.lit(1)).alias("rows")).withColumn("missing", F.lit(found))
+        where, columns = str(error).split(" lacks the columns ")
+    counted = raw.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(F.lit(where.rpartition("/")[2]).alias("file"), F.lit(columns).alias("missing"), "rows")
 
 
 @query(
@@ -237,7 +242,7 @@ def leakage_guard(spark, d):
         contracts.check_leakage(frame, ["show_cnt"])
         leaked = ""
     except contracts.LeakageError as error:
-        leaked = str(error).split("'")[1]
+        leaked = str(error).rpartition(": ")[2]
     return frame.agg(F.count(F.lit(1)).alias("rows")).withColumn("leaked", F.lit(leaked))
 
 
@@ -377,10 +382,8 @@ def duration_index(spark, d):
 
 @query(
     "c10_duration_label",
-    """
-    SELECT CASE WHEN duration_ms > 180000 THEN '3min+' WHEN duration_ms > 60000 THEN '1-3min'
-                WHEN duration_ms > 18000 THEN '18-60s' WHEN duration_ms > 7000 THEN '7-18s'
-                WHEN duration_ms IS NULL THEN 'unknown' ELSE '0-7s' END AS label, count(*) AS rows
+    f"""
+    SELECT {label_sql("duration_ms", DURATION_LABELS)} AS label, count(*) AS rows
     FROM fx_large GROUP BY 1
     """,
     ("fx_large",),
@@ -393,11 +396,9 @@ def duration_label(spark, d):
 
 @query(
     "c11_age_label",
-    """
+    f"""
     WITH a AS (SELECT x.date - i.upload_dt AS age FROM fx_x x JOIN fx_items i USING (item_id))
-    SELECT CASE WHEN age IS NULL THEN 'unknown' WHEN age > 365 THEN '365d+' WHEN age > 180 THEN '181-365d'
-                WHEN age > 30 THEN '31-180d' WHEN age > 7 THEN '8-30d' WHEN age >= 1 THEN '1-7d' ELSE '0d' END AS label,
-           count(*) AS rows
+    SELECT {label_sql("age", AGE_LABELS)} AS label, count(*) AS rows
     FROM a GROUP BY 1
     """,
     ("fx_x",),

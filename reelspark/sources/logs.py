@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelspark.operators.contracts import require_columns
 from reelspark.sources.fixtures import FLAGS
 
 # Column contracts of the raw files.
@@ -63,6 +65,7 @@ USER_COLUMNS = (
     *(f"onehot_feat{i}" for i in range(18)),
 )
 LONG_LOG_COLUMNS = ("user_id", "video_id", "time_ms", "play_time_ms", "duration_ms")
+# The columns a profile stages, with their types.
 PROFILE_TYPES = {
     "user_id": "bigint",
     "video_id": "bigint",
@@ -80,7 +83,51 @@ def read_text(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("header", True).csv(paths)
 
 
-def _union_by_name(parts: list[DataFrame]) -> DataFrame:
+def _files_of(spark: SparkSession, path: str) -> list:
+    """Status of the files under a path: itself, or what a writer left in it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    found = system.globStatus(where)
+    if not found:
+        raise FileNotFoundError(path)
+    files = [inner for status in found for inner in (system.listStatus(status.getPath()) if status.isDirectory() else [status])]
+    return [f for f in files if f.getLen() > 0 and f.getPath().getName()[0] not in "._"]
+
+
+def _header(spark: SparkSession, status) -> tuple[str, ...]:
+    """Column names of a file from its first line, read without a Spark job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = status.getPath().getFileSystem(conf).open(status.getPath())
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(status.getPath())
+        reader = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        line = jvm.java.io.BufferedReader(reader).readLine() or ""
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line]), []))
+
+
+def _tagged_text(spark: SparkSession, files: list[tuple[int, str, str]], required) -> DataFrame:
+    """Text columns of all files with `file_id` and `source`: one scan for each distinct header.
+
+    Every file must have the required columns, whatever the others have. The ids come by a
+    join with the list of files on the path that Spark gives with each row.
+    """
+    by_header: dict[tuple[str, ...], list[tuple[str, int, str]]] = {}
+    for file_id, path, source in files:
+        for status in _files_of(spark, path):
+            header = _header(spark, status)
+            require_columns(header, required, path)
+            by_header.setdefault(header, []).append((status.getPath().toUri().toString(), file_id, source))
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  file:/x and file:///x are one
+    parts = []
+    for header, members in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        text = spark.read.schema(schema).option("header", True).csv([uri for uri, _, _ in members])
+        ids = spark.createDataFrame(members, "_uri string, file_id int, source string").withColumn("_uri", plain("_uri"))
+        rows = text.select("*", plain(F.col("_metadata.file_path")).alias("_uri"))
+        parts.append(rows.join(F.broadcast(ids), "_uri").drop("_uri"))  # one row a file, as the driver lists them
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -92,16 +139,13 @@ def _integral(column: str) -> F.Column:
 def read_logs(spark: SparkSession, standard_paths: list[str], random_paths: list[str]) -> DataFrame:
     """Log files unioned by column name, typed and tagged with their source.
 
-    Each file is read with its own header, so files may order their columns
-    differently. A value that is no number raises.
+    Files may order their columns differently, but each must have all of them: one that
+    does not raises and is named. A value that is no number raises.
     """
     tagged = [(p, "standard") for p in standard_paths] + [(p, "random") for p in random_paths]
-    parts = []
-    for path, source in tagged:
-        text = read_text(spark, [path])
-        typed = [_integral(c) if c in LOG_COLUMNS else F.col(c) for c in text.columns]
-        parts.append(text.select(*typed, F.lit(source).alias("source")))
-    return _union_by_name(parts)
+    text = _tagged_text(spark, [(i, p, s) for i, (p, s) in enumerate(tagged)], LOG_COLUMNS)
+    typed = [_integral(c) if c in LOG_COLUMNS else F.col(c) for c in text.columns if c not in ("file_id", "source")]
+    return text.select(*typed, "source")
 
 
 def stage_text_logs(raw: DataFrame) -> DataFrame:
@@ -115,12 +159,8 @@ def stage_text_logs(raw: DataFrame) -> DataFrame:
 
 
 def stage_logs(spark: SparkSession, files: list[tuple[int, str, str]]) -> DataFrame:
-    """Stage log files given as `(file_id, path, source)`."""
-    parts = [
-        read_text(spark, [path]).withColumn("file_id", F.lit(i)).withColumn("source", F.lit(source))
-        for i, path, source in files
-    ]
-    return stage_text_logs(_union_by_name(parts))
+    """Stage log files given as `(file_id, path, source)`; each must have the staged columns."""
+    return stage_text_logs(_tagged_text(spark, files, {*PROFILE_TYPES, *FLAGS}))
 
 
 def write_tables(interactions: DataFrame, users: DataFrame, items: DataFrame, path: str) -> None:

@@ -81,10 +81,18 @@ def test_auc_ties_and_single_class(spark):
     assert got == {0: 0.5, 1: None}
 
 
-def test_ordered_bucket_never_decreases(spark):
-    values = sorted([0.0, -1e-300, 1e-300, -5.0, 5.0, 1.0, 1.0000001, 1e300, -1e300, 0.3, 0.30001])
-    got = column(spark, values, "double", stats.ordered_bucket)
-    assert got == sorted(got)
+def test_parts_follow_the_values_and_stay_even(spark):
+    """A million scores that differ in the sixth digit only."""
+    scores = spark.range(1_000_000).select((0.9 + F.pmod(F.col("id") * 7919, F.lit(1_000_000)) * 1e-9).alias("s"))
+    parts = stats.ordered_parts(scores, "s", "scores")
+    found = parts.groupBy("_bucket").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n")).orderBy("_bucket").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+    assert max(r["n"] for r in found) <= 2 * 1_000_000 / len(found) and len(found) == 4
+
+
+def test_poisson_table_reaches_the_last_uniform_number():
+    assert 1 - stats.POISSON_CDF[-1] < 2**-52 and list(stats.POISSON_CDF) == sorted(stats.POISSON_CDF)
+    assert stats.POISSON_CDF[:3] == pytest.approx((0.36787944117144233, 0.7357588823428847, 0.9196986029286058))
 
 
 def test_global_rank_is_a_full_ranking(spark):

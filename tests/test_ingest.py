@@ -113,3 +113,41 @@ def test_sub_releases(spark):
     assert {r["video_id"] for r in seen.collect()} == {r["video_id"] for r in mine.collect()}
     again = ingest.sample_users(users.repartition(5), 3, 1)
     assert {r[0] for r in again.collect()} == {r["user_id"] for r in kept.collect()}
+
+
+def test_a_file_without_a_column_is_named(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        columns = [c for c in logs.LOG_COLUMNS if (i, c) != (1, "is_click")]
+        frame = log_frame(spark).select(*(reversed(columns) if i == 2 else columns))
+        frame.coalesce(1).write.option("header", True).csv(str(tmp_path / f"part{i}"))
+        paths.append(str(tmp_path / f"part{i}"))
+    with pytest.raises(contracts.ContractError, match="part1 lacks the columns is_click"):
+        logs.read_logs(spark, paths[:2], paths[2:])
+    with pytest.raises(contracts.ContractError, match="part1 lacks"):
+        logs.stage_logs(spark, [(i, p, "standard") for i, p in enumerate(paths)])
+    with pytest.raises(FileNotFoundError):
+        logs.read_logs(spark, [str(tmp_path / "none")], [])
+
+
+def test_one_scan_for_each_header(spark, tmp_path):
+    files = []
+    for i in range(5):
+        columns = list(reversed(logs.LOG_COLUMNS)) if i == 4 else list(logs.LOG_COLUMNS)
+        log_frame(spark).filter(F.col("user_id") == i).select(*columns).write.option("header", True).csv(str(tmp_path / f"f{i}"))
+        files.append((i, str(tmp_path / f"f{i}"), "random" if i > 2 else "standard"))
+    staged = logs.stage_logs(spark, files)
+    assert staged._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    got = {(r["file_id"], r["source"], r["user_id"]) for r in staged.collect()}
+    assert got == {(i, s, i) for i, _, s in files}
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from reelspark import session
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)

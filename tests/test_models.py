@@ -12,7 +12,7 @@ from reelspark.operators.baselines import build_baselines
 from reelspark.operators.cooccurrence import ItemCooccurrence
 from reelspark.operators.popularity import MostPopular
 from reelspark.operators.random_ranker import RandomRecommender, _next_prime
-from reelspark.operators.recommend import DenseScoresRefused, dense_recommend, numbered_slots, walk_shared_order
+from reelspark.operators.recommend import Recommender, item_tie, numbered_slots, top_k, walk_shared_order
 from reelspark.params import BaselineParams
 from reelspark.sources import tables
 
@@ -41,10 +41,13 @@ def lists(model, setting, k=K):
     return fitted, dict(out)
 
 
-def dense_lists(model, setting, k=K):
+def fully_ranked(model, setting, k=K):
     fit, _, catalog, available, targets, exclusions = setting
     fitted = model.fit(fit, catalog, AS_OF)
-    rows = dense_recommend(fitted, targets.select("user_id").distinct(), k, exclusions, available, 5, 10**9).collect()
+    # The definition, on a frame small enough for it: every open pair is scored and ranked.
+    pairs = targets.select("user_id").distinct().crossJoin(available.select("item_id"))
+    scored = fitted.score_pairs(pairs.join(exclusions, ["user_id", "item_id"], "left_anti"))
+    rows = top_k(scored, k, F.col("score"), item_tie(5)).collect()
     out = defaultdict(list)
     for r in sorted(rows, key=lambda r: r["rank"]):
         out[r["user_id"]].append(r["item_id"])
@@ -55,8 +58,8 @@ def dense_lists(model, setting, k=K):
     "make",
     [lambda: MostPopular(), lambda: MostPopular("long_view", 3), lambda: ItemCooccurrence("is_click", 5, 2.0, 10), lambda: ItemCooccurrence("is_click", 200, 10.0, 200)],
 )
-def test_own_path_lists_what_the_dense_path_lists(setting, make):
-    assert lists(make(), setting)[1] == dense_lists(make(), setting)
+def test_own_path_lists_what_full_ranking_lists(setting, make):
+    assert lists(make(), setting)[1] == fully_ranked(make(), setting)
 
 
 @pytest.mark.parametrize("make", [MostPopular, ItemCooccurrence, lambda: RandomRecommender(3)])
@@ -107,11 +110,9 @@ def test_a_user_history_is_bounded(setting):
     assert kept == 7
 
 
-def test_dense_path_refuses_above_its_limit(setting):
-    fit, _, catalog, available, targets, exclusions = setting
-    model = MostPopular().fit(fit, catalog, AS_OF)
-    with pytest.raises(DenseScoresRefused):
-        dense_recommend(model, targets.select("user_id").distinct(), K, exclusions, available, 5, 10)
+def test_a_model_without_a_path_of_its_own_names_itself():
+    with pytest.raises(NotImplementedError, match="recommender"):
+        Recommender().recommend(None, K, None, None, 5)
 
 
 def test_random_is_reproducible_and_spread_out(spark, setting):

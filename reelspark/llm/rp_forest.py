@@ -17,6 +17,7 @@ smallest number. Identical vectors are one point with a number of copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ MAX_SPILL = 0.35
 SEED = 11
 
 
+@lru_cache(maxsize=512)
 def directions(tree: int, depth: int, dim: int) -> np.ndarray:
     drawn = np.random.default_rng([SEED, tree, depth, dim]).normal(size=((1 << LEVELS) - 1, dim))
     return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
@@ -73,18 +75,20 @@ def thresholds(x: np.ndarray, n: int, ways: np.ndarray, width: float, leaf: int)
     return out
 
 
-def leaves_of(x: np.ndarray, splits: np.ndarray, ways: np.ndarray, width: float) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """(node, whether it stays whole, its rows)."""
-    frontier = [(0, np.arange(len(x)))]
-    while frontier:
-        i, rows = frontier.pop()
-        if not len(rows):
-            continue
-        if i >= len(splits) or not np.isfinite(splits[i]):
-            yield i, i < len(splits) and bool(np.isneginf(splits[i])), rows
-            continue
-        p = x[rows] @ ways[i]
-        frontier += [(2 * i + 1, rows[p <= splits[i] + width]), (2 * i + 2, rows[p >= splits[i] - width])]
+def leaves_of(p: np.ndarray, splits: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, whether the node stays whole) of all leaves of rows with projections `p` and the splits of their nodes."""
+    row, node = np.arange(len(p)), np.zeros(len(p), np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(row):
+        inside = node < splits.shape[1]
+        at = splits[row, np.minimum(node, splits.shape[1] - 1)]
+        on = inside & np.isfinite(at)
+        out.append((row[~on], node[~on], (inside & np.isneginf(at))[~on]))
+        row, node, at = row[on], node[on], at[on]
+        value = p[row, node]
+        left, right = value <= at + width, value >= at - width
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (row, node, row > 0)
 
 
 def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -103,17 +107,24 @@ def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEA
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, rows in batch.groupby("key", sort=False):
-                splits = rows["splits"].iloc[0]
-                if splits is None:  # no row was sampled
-                    yield pd.DataFrame({"key": "!" + name, "point": rows["point"], "embedding": rows["embedding"], "whole": True})
-                    continue
-                x = unit(rows["embedding"])
-                tree, depth = _of_key(name)
-                dim = x.shape[1]
-                for i, whole, mine in leaves_of(x, np.asarray(splits), directions(tree, depth, dim), spill_width(dim, cosine)):
-                    part = rows.iloc[mine]
-                    yield pd.DataFrame({"key": f"{name}/{i}", "point": part["point"], "embedding": part["embedding"], "whole": whole})
+            missing = batch["splits"].isna()
+            if missing.any():  # no row of the node was sampled
+                yield batch[missing].assign(key="!" + batch["key"], whole=True)[["key", "point", "embedding", "whole"]]
+                batch = batch[~missing]
+            kinds = [(*_of_key(k), len(v)) for k, v in zip(batch["key"], batch["embedding"])]
+            # Rows of all nodes with the same directions together: a batch holds many nodes.
+            for kind, rows in batch.groupby(pd.Series(kinds, batch.index, dtype=object), sort=False):
+                p = unit(rows["embedding"]) @ directions(*kind).T
+                at, node, whole = leaves_of(p, np.stack(rows["splits"].to_list()), spill_width(kind[2], cosine))
+                keys = rows["key"].to_numpy()[at]
+                yield pd.DataFrame(
+                    {
+                        "key": [f"{k}/{i}" for k, i in zip(keys, node.tolist())],
+                        "point": rows["point"].to_numpy()[at],
+                        "embedding": rows["embedding"].to_numpy()[at],
+                        "whole": whole,
+                    }
+                )
 
     while True:
         sizes = now.df.groupBy("key").agg(F.count("*").alias("n"), F.max("whole").alias("stays"))

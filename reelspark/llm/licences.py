@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.word_ids import Codes, chunks, groups
+from reelspark.llm.worker import held
 
 BUCKETS, NGRAMS, WINDOW = 1 << 16, 3, 24
 SHINGLE, SIMILARITY = 5, 0.8
@@ -302,8 +303,6 @@ def train(docs: DataFrame) -> Model:
     return fit([r["text"] for r in rows.collect()])
 
 
-_SCANNERS: dict[str, Scanner] = {}
-
 FOUND = "family string, probability double, similarity double, families string, n_notices long"
 
 
@@ -321,12 +320,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[key] = Scanner(shared.value)
+        scanner = held(("licences", key), lambda: Scanner(shared.value))
         for texts in batches:
             rows = []
-            for found in _SCANNERS[key].scan(texts):
+            for found in scanner.scan(texts):
                 family, chance, close = min(found, key=lambda x: (-x[1], x[0]), default=(UNKNOWN, 0.0, 0.0))
                 rows.append((family, chance, close, ",".join(sorted({f for f, _, _ in found})), len(found)))
             yield pd.DataFrame(rows, columns=names)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.word_ids import Codes, Ragged, groups
+from reelspark.llm.worker import held
 
 SPACE = "▁"
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -217,13 +218,9 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def load(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """The encoder of this worker, kept from task to task."""
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

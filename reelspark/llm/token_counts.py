@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.word_ids import BLOCK_CHARS, Codes
+from reelspark.llm.worker import held
 
 NONE = np.int64(1 << 40)
 #: Symbols merged at a time.
@@ -185,9 +186,6 @@ class Counter:
         return totals
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every whole text (null: empty).
 
@@ -197,10 +195,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = Counter(tokenizer)
+        counter = held(("counts", tokenizer), lambda: Counter(tokenizer))
         for texts in batches:
-            yield pd.Series(_LOADED[tokenizer].count(texts), dtype="int64")
+            yield pd.Series(counter.count(texts), dtype="int64")
 
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), count("text").alias("n_tokens"))

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from reelspark.llm.worker import held
+
 #: Distinct chunks a worker remembers (some 150 MB at most); results do not depend on it.
 MAX_CHUNKS = 400_000
 #: Chunks above this many characters are not remembered.
@@ -75,13 +77,13 @@ class Codes:
     says that it is time to start anew.
     """
 
-    def __init__(self, learn, limit: int = MAX_CHUNKS) -> None:
+    def __init__(self, learn, limit: int = MAX_CHUNKS, most: int = 3) -> None:
         self.numbers: dict[str, int] = {}
-        self.learn, self.limit, self.next = learn, limit, 0
+        self.learn, self.limit, self.most, self.next = learn, limit, most, 0
 
     @property
     def full(self) -> bool:
-        return self.next > 3 * self.limit
+        return self.next > self.most * self.limit
 
     def of(self, words: list[str]) -> np.ndarray:
         """`words` are distinct."""
@@ -198,11 +200,6 @@ class WordTokenizer:
                 begun = []
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def load(path: str) -> WordTokenizer:
     """The tokenizer of this worker, kept from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    return held(("words", path), lambda: WordTokenizer(path))

@@ -16,7 +16,7 @@ from reelspark.operators.baselines import build_baselines
 from reelspark.operators.two_tower import TwoTowerRetriever
 from reelspark.params import BaselineParams, EvalParams, FeatureParams, SplitDates, TwoTowerParams
 from reelspark.plans.experiment import evaluate_models
-from reelspark.session import configure, materialize
+from reelspark.session import configure, materialize, scratch
 from reelspark.sources import logs
 
 TEXT_COLUMNS = (
@@ -57,9 +57,10 @@ def run_ingest(
     configure(spark)
     leaky = (features or FeatureParams()).leaky_columns
     # the text is parsed once; the checks and the tables read the stored copy
-    rows = materialize(logs.read_logs(spark, list(standard_paths), list(random_paths)), "logs")
-    tables = ingest.ingest(rows, read_users(spark, users_path), read_items(spark, items_path), splits, leaky)
-    logs.write_tables(tables["interactions"], tables["users"], tables["items"], out)
+    with scratch(spark):
+        rows = materialize(logs.read_logs(spark, list(standard_paths), list(random_paths)), "logs")
+        tables = ingest.ingest(rows, read_users(spark, users_path), read_items(spark, items_path), splits, leaky)
+        logs.write_tables(tables["interactions"], tables["users"], tables["items"], out)
     stored = logs.read_tables(spark, out)
     entries = ingest.manifest(stored["interactions"], stored["items"], leaky)
     entries.write.mode("overwrite").json(f"{out}/manifest")
@@ -68,9 +69,10 @@ def run_ingest(
 def run_features(spark: SparkSession, data: str, features: FeatureParams | None = None) -> None:
     configure(spark)
     tables = logs.read_tables(spark, data)
-    point_in_time.write_features(
-        tables["interactions"], tables["items"], tables["users"], f"{data}/features", features
-    )
+    with scratch(spark):
+        point_in_time.write_features(
+            tables["interactions"], tables["items"], tables["users"], f"{data}/features", features
+        )
 
 
 def run_baselines(
@@ -104,9 +106,10 @@ def run_retrieve(
 def _evaluate(spark: SparkSession, data: str, splits: SplitDates, params: EvalParams, tag: str, make) -> DataFrame:
     configure(spark)
     tables = logs.read_tables(spark, data)
-    results = evaluate_models(tables["interactions"], tables["items"], splits, lambda: make(tables), params)
     path = f"{data}/results/{tag}"
-    logs.write_results(results, path)
+    with scratch(spark):
+        results = evaluate_models(tables["interactions"], tables["items"], splits, lambda: make(tables), params)
+        logs.write_results(results, path)
     return logs.read_results(spark, path)
 
 
@@ -116,16 +119,17 @@ def run_profile(
     """Profile a release given as `(path, source)` files; tables and manifest are written."""
     configure(spark)
     numbered = [(i, path, source) for i, (path, source) in enumerate(files)]
-    # one pass over the text; every table reads the narrow stored copy
-    staged = materialize(logs.stage_logs(spark, numbered), "staged")
     names = spark.createDataFrame(
         [(i, path.rstrip("/").rsplit("/", 1)[-1], source) for i, path, source in numbered],
         "file_id int, file string, source string",
     )
     items = profile.stage_items(logs.read_text(spark, [items_path]))
     users = profile.stage_users(logs.read_text(spark, [users_path]))
-    tables = profile.build_profile(staged, items, users, names)
-    logs.write_frames(tables | {"manifest": profile.manifest(staged)}, out)
+    with scratch(spark):
+        # one pass over the text; every table reads the narrow stored copy
+        staged = materialize(logs.stage_logs(spark, numbered), "staged")
+        tables = profile.build_profile(staged, items, users, names)
+        logs.write_frames(tables | {"manifest": profile.manifest(staged), "release_files": names}, out)
 
 
 def run_all(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Cut the lineage by writing `df` to the shared folder and reading it back.
 
     A written table survives lost executors, and everything downstream sees one
@@ -74,8 +75,36 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     _WRITTEN.append(path)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing reads any more."""
+    path = getattr(stored, "_scratch_path", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _delete(stored.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end; earlier ones stay."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
 
 
 def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -88,8 +117,5 @@ def broadcast_if_small(stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> Dat
 
 def release(spark: SparkSession) -> None:
     """Delete the tables `materialize` wrote in this session; frames over them end here."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _WRITTEN.pop())

@@ -182,3 +182,22 @@ def test_several_shards_train_and_unknown_users_get_vectors(spark, fitted, items
     rows = model.embed_users(people).collect()
     assert {r["user_id"] for r in rows} == {0, 29, 999}
     assert np.linalg.norm([r["vector"] for r in rows], axis=1) == pytest.approx(np.ones(3))
+
+
+def test_shards_in_turn_learn_like_one_and_side_by_side_nearly_so(spark, fitted, items, users):
+    planted, _, catalog = fitted
+    fit = tables.fit_window(planted, AS_OF).drop("author_id")
+    n = fit.filter("is_click = 1").join(catalog, "item_id", "left_semi").count()
+
+    def losses(shards, parallel):
+        sizes = {"shard_rows": -(-n // shards), "parallel_shards": parallel, "batch_size": 16, "epochs": 3}
+        model = two_tower.TwoTowerRetriever(items, users, TwoTowerParams(**{**SMALL.__dict__, **sizes}), 5)
+        model.fit(fit, catalog, AS_OF)
+        assert model.examples_seen == [n] * 3
+        return model.losses
+
+    one = losses(1, 1)
+    assert losses(16, 1)[-1] == pytest.approx(one[-1], rel=0.1)
+    assert losses(4, 4)[-1] == pytest.approx(one[-1], rel=0.3)
+    # Sixteen side by side take a sixteenth of the steps.
+    assert losses(16, 16)[-1] < (one[0] + one[-1]) / 2

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -70,9 +71,6 @@ class Encoder:
         self.matches.make_automaton()
         self.edges: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.ids = Ragged()
         self.codes = Codes(self._learn)
 
@@ -171,7 +169,7 @@ class Encoder:
         return [self.pieces.bytes[b] for b in raw] if all(b in self.pieces.bytes for b in raw) else [self.pieces.unknown]
 
     def _learn(self, chunks: list[str]) -> None:
-        self.ids.append([self.segment(c) for c in chunks])
+        self.ids.append([array("I", self.segment(c)).tobytes() for c in chunks])
 
     def _looked_up(self, chunks: list[str]) -> np.ndarray:
         distinct = list(dict.fromkeys(chunks))
@@ -183,7 +181,7 @@ class Encoder:
         first, begun, carried = True, [], ""
         for group, more in groups(texts):
             if self.codes.full:
-                self._reset()
+                self.ids.keep(self.codes.compact())
             lists = pc.split_pattern(pa.array(group, pa.large_string()), " ")
             offsets, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
             words = coded.dictionary.to_pylist()

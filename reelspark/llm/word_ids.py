@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ import pyarrow.compute as pc
 
 from reelspark.llm.worker import held
 
-#: Distinct chunks a worker remembers (some 150 MB at most); results do not depend on it.
-MAX_CHUNKS = 400_000
+#: Distinct chunks a worker remembers (some 100 MB at most); results do not depend on it.
+MAX_CHUNKS = 250_000
 #: Chunks above this many characters are not remembered.
 MAX_CHUNK_CHARS = 128
 #: Documents are handled together up to so many characters; longer ones in pieces of this size, cut at white space.
@@ -38,28 +39,35 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x
 
 
 class Ragged:
-    """Rows of integers, appended at the end, gathered by row number."""
+    """Rows of unsigned 32-bit numbers, appended at the end as bytes, gathered by row number."""
 
-    def __init__(self, dtype=np.uint32) -> None:
-        self.flat = np.empty(1 << 16, dtype)
+    def __init__(self) -> None:
+        self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.rows = self.used = 0
 
-    def append(self, rows: list) -> None:
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        total, n = int(lengths.sum()), len(rows)
+    def append(self, rows: list[bytes]) -> None:
+        values = np.frombuffer(b"".join(rows), np.uint32)
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        total, n = len(values), len(rows)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.rows + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        if total:
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), self.flat.dtype, total)
+        self.flat[self.used : self.used + total] = values
         self.starts[self.rows : self.rows + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[self.rows : self.rows + n] = lengths
         self.rows, self.used = self.rows + n, self.used + total
 
+    def keep(self, rows: np.ndarray) -> None:
+        """Only `rows` stay, in this order."""
+        values, ends = self.gather(rows)
+        self.flat, self.lengths = np.append(values, np.empty(1 << 16, np.uint32)), np.append(self.lengths[rows], np.zeros(1 << 14, np.int64))
+        self.starts = np.append(ends, np.zeros(1 << 14, np.int64)) - self.lengths
+        self.rows, self.used = len(rows), len(values)
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Their contents one after the other, and the end of each."""
         lengths = self.lengths[rows]
@@ -73,13 +81,15 @@ class Ragged:
 class Codes:
     """Numbers for distinct words; `learn` is told the new ones in order.
 
-    The first `limit` words are remembered, later ones get a number for one use. `full`
-    says that it is time to start anew.
+    Up to `limit` words are remembered, from the second time they are met (one-off words, of
+    which a corpus has many, would fill the room of frequent ones); the others get a number
+    for one use. `full` says that it is time for `compact`, or to start anew.
     """
 
-    def __init__(self, learn, limit: int = MAX_CHUNKS, most: int = 3) -> None:
+    def __init__(self, learn, limit: int | None = None, most: int = 2) -> None:
         self.numbers: dict[str, int] = {}
-        self.learn, self.limit, self.most, self.next = learn, limit, most, 0
+        self.met = bytearray(1 << 21)
+        self.learn, self.limit, self.most, self.next = learn, limit or MAX_CHUNKS, most, 0
 
     @property
     def full(self) -> bool:
@@ -94,11 +104,22 @@ class Codes:
             self.learn(new)
             found[missing] = given = np.arange(self.next, self.next + len(new))
             self.next += len(new)
-            room = self.limit - len(self.numbers)
-            if room > 0:
-                self.numbers.update((w, n) for w, n in zip(new[:room], given.tolist()) if len(w) <= MAX_CHUNK_CHARS)
+            met, mask = self.met, len(self.met) - 1
+            for word, number in zip(new, given.tolist()):
+                at = hash(word) & mask
+                if not met[at]:
+                    met[at] = 1
+                elif len(self.numbers) < self.limit and len(word) <= MAX_CHUNK_CHARS:
+                    self.numbers[word] = number
         return found
 
+    def compact(self) -> np.ndarray:
+        """Numbers the remembered words anew from 0; their old numbers, in that order."""
+        kept = np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
+        self.numbers = dict(zip(self.numbers, range(len(kept))))
+        self.next = len(kept)
+        return kept
+
 
 def chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks between ASCII white space, for each chunk its place among them, and each text's end in chunks."""
@@ -153,19 +174,16 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._reset()
-
-    def _reset(self) -> None:
         self.ids = Ragged()
         self.codes = Codes(self._learn)
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, bytes] = {}
 
-    def _run(self, run: str) -> list[int]:
+    def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
             spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = [t.id for t in self.library.model.tokenize(spelled)]
-            if len(self.runs) < MAX_CHUNKS:
+            ids = array("I", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
+            if len(self.runs) < MAX_CHUNKS // 2:
                 self.runs[run] = ids
         return ids
 
@@ -175,11 +193,11 @@ class WordTokenizer:
         for i, word in enumerate(words):
             if _PLAIN.fullmatch(word):
                 runs = _RUNS.findall(word.lower())
-                rows[i] = self._run(runs[0]) if len(runs) == 1 else [x for r in runs for x in self._run(r)]
+                rows[i] = self._run(runs[0]) if len(runs) == 1 else b"".join([self._run(r) for r in runs])
             else:
                 rest.append(i)
         for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            rows[i] = e.ids
+            rows[i] = array("I", e.ids).tobytes()
         self.ids.append(rows)
 
     def documents(self, texts: Iterable[str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
@@ -188,7 +206,7 @@ class WordTokenizer:
         begun: list[np.ndarray] = []
         for group, more in groups(texts):
             if self.codes.full:
-                self._reset()
+                self.ids.keep(self.codes.compact())
             words, which, last = chunks(group)
             flat, ends = self.ids.gather(self.codes.of(words)[which])
             bounds = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()

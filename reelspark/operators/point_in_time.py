@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reelspark.functions.expressions import day_number, primary_tag_feature
 from reelspark.operators.contracts import check_leakage
 from reelspark.params import FeatureParams
+from reelspark.session import materialize
 
 
 @dataclass(frozen=True)
@@ -214,6 +215,13 @@ def static_features(examples: DataFrame, items: DataFrame, users: DataFrame, lea
     return joined.withColumn("item_age_days", age).drop("_upload_dt")
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Left join on key pairs, nulls matching nulls; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys.values()})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{v}")) for k, v in keys.items()])
+    return left.join(other, same, "left").drop(*[f"_of_{k}" for k in keys.values()])
+
+
 def historical_features(
     examples: DataFrame,
     interactions: DataFrame,
@@ -226,17 +234,39 @@ def historical_features(
     Keeps every input column and row. A null author leaves the author views
     null; a known author without history gets zeros. Row order is not a
     DataFrame property: carry a row id where an order matters.
+
+    The log is summed once, to a row per user, item and day; what is asked is
+    reduced once, to distinct keys and days. The views, and the static columns,
+    are put together on those small sides, so the wide rows join three times: by
+    item and day, by user and day, and by user, author and day.
     """
     params = params or FeatureParams()
-    asked = examples.select("user_id", "item_id", "date").join(items.select("item_id", "author_id"), "item_id", "left")
-    rates = global_rates(view_events(interactions, items, None, params.sources), asked)
-    out = static_features(examples, items, users, params.leaky_columns)
-    for view in VIEWS:
-        events = view_events(interactions, items, view, params.sources)
-        features = view_features(events, asked, view, rates, params)
-        keys = [("item_author_id" if k == "author_id" else k) for k in view.keys]
-        renamed = features.withColumnRenamed("author_id", "item_author_id")
-        out = out.join(renamed, [*keys, "date"], "left")
+    keys = ("user_id", "item_id", "author_id", "date")
+    authors = items.select("item_id", "author_id")
+    logged = interactions.filter(F.col("source").isin(*params.sources))
+    daily = logged.select("user_id", "item_id", "date", *_measures(logged)).groupBy("user_id", "item_id", "date")
+    daily = materialize(daily.agg(*[F.sum(m).alias(m) for m in MEASURES]).join(authors, "item_id", "left"), "daily")
+    per_item = daily.groupBy("item_id", "author_id", "date").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    per_item = materialize(per_item, "item-days")
+    asked = examples.select("user_id", "item_id", "date").distinct().join(authors, "item_id", "left")
+    asked = materialize(asked.select(*keys), "asked")
+    rates = materialize(global_rates(per_item, asked), "rates")
+    views = {
+        view.name: view_features(daily if "user_id" in view.keys else per_item, asked, view, rates, params) for view in VIEWS
+    }
+
+    per_day = asked.select("item_id", "author_id", "date").distinct()
+    per_day = per_day.join(views["item"], ["item_id", "date"], "left").join(views["author"], ["author_id", "date"], "left")
+    per_day = _matched(per_day.drop("author_id"), static_item_columns(items, params.leaky_columns), {"item_id": "item_id"})
+    age = F.datediff(F.col("date"), F.col("_upload_dt")).cast("bigint")
+    per_day = per_day.withColumn("item_age_days", age).drop("_upload_dt")
+    of_user = asked.select("user_id", "date").distinct().join(views["user"], ["user_id", "date"], "left")
+    of_user = of_user.join(static_user_columns(users, params.leaky_columns), "user_id", "left")
+
+    out = _matched(examples, per_day, {"item_id": "item_id", "date": "date"})
+    out = _matched(out, of_user, {"user_id": "user_id", "date": "date"})
+    pairs = views["ua"].withColumnRenamed("author_id", "item_author_id")
+    out = out.join(pairs, ["user_id", "item_author_id", "date"], "left")
     check_leakage(out, params.leaky_columns)
     passed = examples.columns
     return out.select(*passed, *[c for c in out.columns if c not in passed])

@@ -31,7 +31,7 @@ view(
 )
 view(
     "f_asked",
-    "SELECT x.*, i.author_id FROM fx_large x LEFT JOIN f_items i USING (item_id) WHERE x.split = 'test'",
+    "SELECT x.*, i.author_id FROM fx_large x LEFT JOIN f_items i USING (item_id)",
     "fx_large",
     "f_items",
 )
@@ -70,10 +70,10 @@ def _view_sql(name: str) -> str:
         out.append(f"cast({got['click']} AS double) AS {name}_click_{suffix}")
         for rate, m in (("ctr", "click"), ("lvr", "lv"), ("likr", "likes")):
             out.append(
-                f"round(({got[m]} + 20.0::double * max(g.g_{rate})) / ({got['impr']} + 20.0::double), 8) AS {name}_{rate}_{suffix}"
+                f"round(({got[m]} + 20.0::double * max(g.g_{rate})) / ({got['impr']} + 20.0::double) + 1e-11, 8) AS {name}_{rate}_{suffix}"
             )
         out.append(
-            f"CASE WHEN {got['dur']} > 0 THEN round({got['play']} / {got['dur']}, 8) END AS {name}_play_ratio_{suffix}"
+            f"CASE WHEN {got['dur']} > 0 THEN round({got['play']} / {got['dur']} + 1e-11, 8) END AS {name}_play_ratio_{suffix}"
         )
     out.append(f"cast(q.date - max(d.date) AS bigint) AS {name}_days_since_last")
     out.append(f"cast(q.date - min(d.date) AS bigint) AS {name}_days_since_first")
@@ -99,7 +99,7 @@ def _inputs(spark, d):
     items = fixtures.items(spark, d)
     unknown = F.col("item_id") % 11 == 5
     items = items.withColumn("author_id", F.when(~unknown, F.col("author_id")))
-    asked = large.filter(F.col("split") == "test").join(items.select("item_id", "author_id"), "item_id", "left")
+    asked = large.join(items.select("item_id", "author_id"), "item_id", "left")
     return large, items, pit.feature_events(large, items), asked
 
 
@@ -107,7 +107,8 @@ def _rounded(df):
     def is_ratio(c):
         return any(f"_{m}_" in c for m in ("ctr", "lvr", "likr", "play_ratio"))
 
-    return df.withColumns({c: F.round(c, 8) for c in df.columns if is_ratio(c)})
+    # shifted a little, so that no exact half is left for the engines to round differently
+    return df.withColumns({c: F.round(F.col(c) + 1e-11, 8) for c in df.columns if is_ratio(c)})
 
 
 def _view_frame(spark, d, name):
@@ -236,7 +237,7 @@ _ROW = "q.user_id, q.item_id, q.date, q.time_ms, q.tab, q.is_click"
 )
 def static_features(spark, d):
     large, items, _, _ = _inputs(spark, d)
-    examples = large.filter(F.col("split") == "test").select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
+    examples = large.select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
     return pit.static_features(examples, items, fixtures.users(spark, d))
 
 
@@ -283,7 +284,7 @@ def assembly_nulls(spark, d):
 def _features(spark, d):
     large, items, _, _ = _inputs(spark, d)
     large = materialize(large, "interactions")  # the processed table, as a user would have it
-    examples = large.filter(F.col("split") == "test").select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
+    examples = large.select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
     return pit.historical_features(examples, large, items, fixtures.users(spark, d), PARAMS)
 
 

@@ -112,3 +112,17 @@ def test_windows_see_days_not_events(spark, events, items):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and plan.index("Window") < plan.index("HashAggregate")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_wide_rows_are_shuffled_three_times_at_most(spark, events, items, users):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = examples(events).withColumn("marker", F.concat(F.lit("wide"), F.col("row_id").cast("string")))
+        plan = pit.historical_features(asked, events, items, users)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tree = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    wide = [line for line in tree if "item_id" in line and "user_id" in line]
+    assert plan.count("SortMergeJoin") <= 3 + 2 + 3 and len(wide) <= 3
+    assert plan.count("InMemoryTableScan") <= 3  # examples, items and users; the log was summed before

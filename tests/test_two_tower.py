@@ -199,5 +199,6 @@ def test_shards_in_turn_learn_like_one_and_side_by_side_nearly_so(spark, fitted,
     one = losses(1, 1)
     assert losses(16, 1)[-1] == pytest.approx(one[-1], rel=0.1)
     assert losses(4, 4)[-1] == pytest.approx(one[-1], rel=0.3)
-    # Sixteen side by side take a sixteenth of the steps.
-    assert losses(16, 16)[-1] < (one[0] + one[-1]) / 2
+    # Sixteen side by side take a sixteenth of the steps: they fall as steadily, later.
+    wide = losses(16, 16)
+    assert wide[2] < wide[1] < wide[0] and wide[2] < 1.5 * one[-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import parse_day, split_label
@@ -49,9 +49,15 @@ def project_items(raw_items: DataFrame, leaky_columns=()) -> DataFrame:
     return raw_items.select(*[special.get(c, F.col(c)) for c in kept])
 
 
-def event_order(interactions: DataFrame) -> DataFrame:
-    """Interactions in canonical order: the `date` column first, then the clock."""
-    return interactions.orderBy("date", "time_ms", "user_id", "item_id")
+def order_violations(stored: DataFrame) -> DataFrame:
+    """Rows of written interactions that stand before an earlier event in their file: one row, one count.
+
+    A file is as large as one writing task made it, and so is a window here.
+    """
+    event = F.struct("date", "time_ms", "user_id", "item_id")
+    placed = stored.select(event.alias("_event"), "_metadata.file_path", "_metadata.row_index")
+    before = F.lag("_event").over(Window.partitionBy("file_path").orderBy("row_index"))
+    return placed.select((before > F.col("_event")).alias("_late")).agg(F.count_if("_late").alias("rows_out_of_order"))
 
 
 def latest_event(interactions: DataFrame, keys: list[str]) -> DataFrame:

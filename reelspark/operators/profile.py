@@ -7,6 +7,9 @@ rows are aggregated per item and day, so a very popular item stays small.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,19 +215,39 @@ def manifest(staged: DataFrame) -> DataFrame:
     return staged.agg(F.count(F.lit(1)).alias("rows"), pool.alias("pool_size"))
 
 
+class Profile(Mapping):
+    """The summary tables of a release by name; each is planned, and the base rows are prepared, when first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def build_profile(
     staged: DataFrame, items: DataFrame, users: DataFrame, file_names: DataFrame, portable: bool = False
-) -> dict[str, DataFrame]:
+) -> Profile:
     """All summary tables of a release, lazily. Stage `staged` as parquet when many are read."""
-    base = base_rows(staged)
-    return {
-        "files": files(staged, file_names),
-        "daily": daily(base, portable),
-        "tabs": tabs(base),
-        "user_activity": user_activity(base),
-        "attributes": attributes(base, items),
-        "concentration": concentration(base),
-        "pool": pool_table(base, items),
-        "clock": clock(base, file_names),
-        "users": users,
-    }
+    base = cache(lambda: base_rows(staged))
+    return Profile(
+        {
+            "files": lambda: files(staged, file_names),
+            "daily": lambda: daily(base(), portable),
+            "tabs": lambda: tabs(base()),
+            "user_activity": lambda: user_activity(base()),
+            "attributes": lambda: attributes(base(), items),
+            "concentration": lambda: concentration(base()),
+            "pool": lambda: pool_table(base(), items),
+            "clock": lambda: clock(base(), file_names),
+            "users": lambda: users,
+        }
+    )

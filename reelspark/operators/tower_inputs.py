@@ -175,28 +175,35 @@ def history_snapshots(positives: DataFrame, requests: DataFrame, max_len: int) -
     return both.filter(F.col("date").isNotNull()).select("user_id", "date", F.concat(padding, found).alias("history"))
 
 
+def _newest_cells(rows: DataFrame, cell: str, max_examples: int) -> DataFrame:
+    """Cells of `rows`, newest first, that begin within the limit: their size and what is newer (`_before`)."""
+    newer = Window.partitionBy(F.lit(1)).orderBy(F.col("date").desc(), F.col(cell).desc())
+    newer = newer.rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("date", cell).agg(F.count(F.lit(1)).alias("_n"), F.max("_base").alias("_base"))
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(newer), F.lit(0))
+    return cells.select("date", cell, "_n", before.alias("_before")).filter(F.col("_before") < max_examples)
+
+
 def recent_examples(positives: DataFrame, max_examples: int | None) -> DataFrame:
     """The latest `max_examples` positives; all of them when None.
 
-    Whole hours are kept or dropped from their counts, one small row per hour of
-    the calendar; only the hour the limit falls into is ordered.
+    Whole hours are kept or dropped from their counts, then whole milliseconds of the
+    hour that the limit falls into; only the rows of one millisecond are ordered.
     """
     if max_examples is None:
         return positives
+    columns = positives.columns
     hour = F.floor(F.col("time_ms") / 3_600_000)
-    marked = positives.withColumn("_hour", hour)
-    latest = Window.partitionBy(F.lit(1)).orderBy(F.col("date").desc(), F.col("_hour").desc())
-    cells = marked.groupBy("date", "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_before", F.sum("_n").over(latest.rowsBetween(Window.unboundedPreceding, -1)))
-    cells = cells.withColumn("_before", F.coalesce("_before", F.lit(0))).filter(F.col("_before") < max_examples)
-    kept = marked.join(cells, ["date", "_hour"])
-    whole = F.col("_before") + F.col("_n") <= max_examples
-    inside = Window.partitionBy("date", "_hour").orderBy(
-        F.col("time_ms").desc(), F.col("user_id").desc(), F.col("item_id").desc()
-    )
-    edge = kept.filter(~whole).withColumn("_r", F.row_number().over(inside))
-    edge = edge.filter(F.col("_r") <= F.lit(max_examples) - F.col("_before"))
-    return kept.filter(whole).select(*positives.columns).unionByName(edge.select(*positives.columns))
+    rows = positives.withColumn("_hour", hour).withColumn("_base", F.lit(0).cast("bigint"))
+    parts = []
+    for cell in ("_hour", "time_ms"):
+        marked = rows.drop("_base").join(_newest_cells(rows, cell, max_examples), ["date", cell])
+        whole = F.col("_before") + F.col("_n") <= max_examples
+        parts.append(marked.filter(whole).select(*columns))
+        rows = marked.filter(~whole).withColumn("_base", F.col("_before")).drop("_n", "_before")
+    order = Window.partitionBy("date", "time_ms").orderBy(F.col("user_id").desc(), F.col("item_id").desc())
+    edge = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.lit(max_examples) - F.col("_base"))
+    return parts[0].unionByName(parts[1]).unionByName(edge.select(*columns))
 
 
 def log_sampling(counts: DataFrame, catalog: DataFrame) -> DataFrame:

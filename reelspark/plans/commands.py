@@ -129,7 +129,7 @@ def run_profile(
         # one pass over the text; every table reads the narrow stored copy
         staged = materialize(logs.stage_logs(spark, numbered), "staged")
         tables = profile.build_profile(staged, items, users, names)
-        logs.write_frames(tables | {"manifest": profile.manifest(staged), "release_files": names}, out)
+        logs.write_frames({**tables, "manifest": profile.manifest(staged), "release_files": names}, out)
 
 
 def run_all(

@@ -104,6 +104,16 @@ def write_read_tables(spark, d):
     return logs.read_tables(spark, path)["interactions"].select(*_X_COLUMNS.split(", "))
 
 
+@query("c3_written_in_event_order", "SELECT cast(0 AS bigint) AS rows_out_of_order, count(*) AS rows FROM fx_x", ("fx_x",))
+def written_in_event_order(spark, d):
+    """Every file of the written interactions holds them in event order."""
+    path = scratch_path(spark, "ordered")
+    logs.write_tables(fixtures.interactions(spark, d), fixtures.users(spark, d), fixtures.items(spark, d), path)
+    stored = spark.read.parquet(f"{path}/interactions")
+    rows = stored.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))
+    return ingest.order_violations(stored).withColumn("_one", F.lit(1)).join(rows, "_one").drop("_one")
+
+
 @query(
     "a5_ingest_manifest",
     """

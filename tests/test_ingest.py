@@ -151,3 +151,11 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(cluster)
+
+
+def test_order_of_written_rows_is_checked(spark, tmp_path):
+    out = ingest.normalize_logs(log_frame(spark), SPLITS)
+    out.coalesce(1).orderBy("date", "time_ms", "user_id", "item_id").write.parquet(str(tmp_path / "good"))
+    out.coalesce(1).sortWithinPartitions(F.col("time_ms").desc()).write.parquet(str(tmp_path / "bad"))
+    assert ingest.order_violations(spark.read.parquet(str(tmp_path / "good"))).first()[0] == 0
+    assert ingest.order_violations(spark.read.parquet(str(tmp_path / "bad"))).first()[0] > 10

@@ -13,15 +13,20 @@ import gc
 _HELD: dict = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def held(key, make):
     """The object under `key`, made if this worker has it not; anything else it held goes first."""
     if key not in _HELD:
         if _HELD:
             _HELD.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the machine, where the C library can
-            except (OSError, AttributeError):
-                pass
+            trim()
         _HELD[key] = make()
     return _HELD[key]

@@ -30,4 +30,6 @@ def test_query_matches_its_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) - len(entry.oracle_sql()) <= 5
+    # The text operators that SQL cannot express have their own brute-force tests.
+    queries, oracles = entry.load()
+    assert len(queries) - len(oracles) <= 5

@@ -114,4 +114,4 @@ class TwoTowerParams:
     lr: float = 0.002
     max_examples: int | None = None
     shard_rows: int = 8_192
-    parallel_shards: int = 64
+    parallel_shards: int = 1

@@ -202,3 +202,28 @@ def test_shards_in_turn_learn_like_one_and_side_by_side_nearly_so(spark, fitted,
     # Sixteen side by side take a sixteenth of the steps: they fall as steadily, later.
     wide = losses(16, 16)
     assert wide[2] < wide[1] < wide[0] and wide[2] < 1.5 * one[-1]
+
+
+def test_default_rounds_take_a_step_for_every_batch(spark, items, users):
+    """More positives than a round of 65,536 had: as many steps as one shard of all of them, and about its loss."""
+    n = 70_000
+    row = F.col("id")
+    user = F.pmod(F.xxhash64(row), F.lit(28))
+    item = F.pmod(F.xxhash64(row, F.lit(1)), F.lit(20)) * 2 + user % 2
+    fit = spark.range(n).select(
+        user.alias("user_id"), item.alias("item_id"), F.date_add(F.lit(DAY0), (row % 8).cast("int")).alias("date"),
+        row.alias("time_ms"), F.lit(1).alias("is_click"),
+    )
+    catalog = cat.build_catalog(items, fit).persist()
+    narrow = {"max_history": 5, "max_tags": 2, "field_dim": 4, "user_field_dim": 2, "hidden": 16, "dim": 8}
+
+    def fitted(**sizes):
+        model = two_tower.TwoTowerRetriever(items, users, TwoTowerParams(**narrow, **sizes), 5)
+        model.prepare(fit, catalog, AS_OF)
+        model.train()
+        assert model.examples_seen == [n] * 2
+        return model
+
+    default, one = fitted(), fitted(shard_rows=n)
+    assert one.steps == 2 * -(-n // 2048) <= default.steps <= one.steps + 2 * -(-n // 8192)
+    assert default.losses[-1] == pytest.approx(one.losses[-1], rel=0.05)

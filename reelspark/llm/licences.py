@@ -5,8 +5,11 @@ half, so a notice inside a long line is whole in one). Its hashed word n-grams o
 three words go into a multinomial logistic regression over licence families and an unknown
 class, trained from the templates, variants of them, and a bounded sample of paragraphs
 of the corpus as unknown. The probability that a family must reach is calibrated on
-held-out paragraphs. What the classifier says counts only if the paragraph also shares at
-least SIMILARITY of its, or a template's, five-word shingles with a template of the family.
+held-out paragraphs. Words that shingles of templates cover get a window of their own, so
+that a short notice does not drown in what stands around it. Where the known families
+together reach the probability, every family is tried: a notice counts if it shares at least SIMILARITY of its window's, or a template's, five-word
+shingles with a template of the family. Notices are told apart by their words: of those
+that share most of them, the most similar one stays.
 """
 
 from __future__ import annotations
@@ -106,6 +109,109 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 _SHINGLES = {f: [shingles([w for c in t.split() if (w := plain(c))]) for t in texts] for f, texts in TEMPLATES.items()}
 
 
+def _places() -> dict[tuple[str, ...], list[tuple[str, int, int]]]:
+    """(family, template, place in it) of every shingle."""
+    out: dict[tuple[str, ...], list[tuple[str, int, int]]] = {}
+    for family, texts in TEMPLATES.items():
+        for number, text in enumerate(texts):
+            words = [w for c in text.split() if (w := plain(c))]
+            for k in range(max(1, len(words) - SHINGLE + 1)):
+                out.setdefault(tuple(words[k : k + SHINGLE]), []).append((family, number, k))
+    return out
+
+
+_PLACES = _places()
+_SHINGLE_SIZES = sorted({len(x) for x in _PLACES})
+
+
+_SEEN_BITS = 22
+
+
+def _runs_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of all runs of n word hashes."""
+    value = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(value)]
+        return (value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SEEN_BITS)
+
+
+_SEEN = {n: np.zeros(1 << _SEEN_BITS, bool) for n in _SHINGLE_SIZES}
+for _shingle in _PLACES:
+    _SEEN[len(_shingle)][_runs_of(np.array([zlib.crc32(w.encode()) for w in _shingle], np.uint64), len(_shingle))] = True
+
+
+def covered(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraph, start, length) of the stretches of words that shingles of templates cover (and a rare other one)."""
+    n_words = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    edge = np.zeros(len(words) + 1, np.int64)
+    for n, seen in _SEEN.items():
+        at = np.flatnonzero(seen[_runs_of(words, n)])
+        at = at[owner[at] == owner[at + n - 1]]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + n, -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1]))
+    first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(owner[at], prepend=-1) > 0)) if len(at) else at
+    lengths = np.diff(np.append(first, len(at)))
+    return owner[at[first]], at[first] - bounds[owner[at[first]]], lengths
+
+
+def occurrences(words: list[str], regions: list[tuple[int, int]]) -> list[tuple[str, int, list[tuple[int, int]]]]:
+    """(family, template, (place, words) of each shared shingle) of what runs along a template within regions of `words`."""
+    out, last = [], {}
+    for begin, end in regions:
+        for at in range(begin, end):
+            for n in _SHINGLE_SIZES:
+                if at + n > end:
+                    continue
+                for family, number, k in _PLACES.get(tuple(words[at : at + n]), ()):
+                    hits, k0 = last.get((family, number), (None, 0))
+                    # The same template from an earlier place on, or far away, is another notice.
+                    if hits is None or k <= k0 or at - hits[-1][0] > WINDOW + k - k0:
+                        hits = []
+                        out.append((family, number, hits))
+                    hits.append((at, n))
+                    last[family, number] = hits, k
+    return out
+
+
+def notices(words: list[str], spans: list[tuple[int, int]], p: np.ndarray) -> list[tuple[str, float, float]]:
+    """(family, probability, similarity) of the notices in or near windows `spans` of a paragraph, `p` being their probabilities."""
+    regions: list[tuple[int, int]] = []
+    for a, b in spans:
+        # A notice may reach over the window's ends.
+        wide = max(0, a - WINDOW), min(len(words), b + WINDOW)
+        if regions and wide[0] <= regions[-1][1]:
+            regions[-1] = regions[-1][0], wide[1]
+        else:
+            regions.append(wide)
+    found = []
+    for family, number, hits in occurrences(words, regions):
+        begin, end = hits[0][0], sum(hits[-1])
+        close, size = 0.0, len(_SHINGLES[family][number])
+        near, over = [], []
+        for i, (a, b) in enumerate(spans):
+            around = sum(a - WINDOW <= at and at + n <= b + WINDOW for at, n in hits)
+            if not around:
+                continue
+            near.append(i)
+            if a < end and b > begin:
+                over.append(i)
+            inside = sum(a <= at and at + n <= b for at, n in hits)
+            close = max(close, around / size, inside / (b - a - SHINGLE + 1) if b - a >= SHINGLE else 0.0)
+        if close >= SIMILARITY:
+            chance = float(p[over or near, FAMILIES.index(family)].max())
+            found.append((family, chance, min(1.0, close), {x for at, n in hits for x in range(at, at + n)}))
+    found.sort(key=lambda x: (-x[2], -len(x[3]), -x[1], x[0]))
+    out, taken = [], set()
+    for family, chance, close, at in found:
+        if 2 * len(at & taken) <= len(at):
+            out.append((family, chance, close))
+            taken |= at
+    return out
+
+
 def similarity(words: list[str], family: str) -> float:
     """The largest share of a template's shingles found here, or of these found in a template."""
     mine = shingles(words)
@@ -268,28 +374,20 @@ class Scanner:
         real = hashes < 1 << 40
         bounds = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], last])]
         hashes = hashes[real]
-        owner, start, lengths = windows(np.diff(bounds))
+        owner, start, lengths = map(np.concatenate, zip(windows(np.diff(bounds)), covered(hashes, bounds)))
         if not len(owner):
             return out
+        order = np.lexsort((start, owner))
+        owner, start, lengths = owner[order], start[order], lengths[order]
         buckets, begins = ngrams(hashes, bounds[owner] + start, lengths)
         p = self.model.probabilities(buckets, begins, lengths)
-        best = p[:, 1:].argmax(axis=1) + 1
-        chance = p[np.arange(len(p)), best]
         text_of = np.repeat(np.arange(len(texts)), [len(ls) for ls in lines])
-        line, seen = -1, set()
-        for i in np.flatnonzero(chance >= self.model.threshold).tolist():
-            if owner[i] != line:
-                line, seen = owner[i], set()
-                line_words = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[line]) if (w := plain(c))]
-            family = FAMILIES[best[i]]
-            a, b = int(start[i]), int(start[i] + lengths[i])
-            # A notice may reach over the window's ends.
-            wide = line_words[max(0, a - WINDOW) : b + WINDOW]
-            close = max(similarity(line_words[a:b], family), similarity(wide, family))
-            # Overlapping windows of a line tell of the same notice.
-            if close >= SIMILARITY and family not in seen:
-                seen.add(family)
-                out[text_of[line]].append((family, float(chance[i]), close))
+        likely = np.flatnonzero(1 - p[:, 0] >= self.model.threshold)
+        for rows in np.split(likely, np.flatnonzero(np.diff(owner[likely])) + 1) if len(likely) else ():
+            line = owner[rows[0]]
+            line_words = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[line]) if (w := plain(c))]
+            spans = list(zip(start[rows].tolist(), (start[rows] + lengths[rows]).tolist()))
+            out[text_of[line]] += notices(line_words, spans, p[rows])
         return out
 
 

@@ -94,6 +94,19 @@ def test_notices_in_unseen_surroundings(spark, licence_model):
     assert got == {1: "Apache", 2: "BSD", 3: "", 4: "CC,MIT"}
 
 
+def test_every_family_of_a_line_and_every_notice_of_a_family(spark, licence_model):
+    made = [
+        (1, "Released under the MIT License. Licensed under CC BY-NC 4.0."),
+        (2, "Released under the MIT License. " + "the anre ouonre of then " * 20 + "Released under the MIT License."),
+        (3, "Released under the MIT License. Released under the ISC License. This work is licensed under the GNU General Public License, version 3."),
+        (4, "This work is licensed under the GNU Affero General Public License, version 3."),
+        (5, "This work is licensed under the GNU Lesser General Public License, version 3."),
+        (6, "the anre ouonre of then Released under the Unlicense. the anre ouonre of then"),
+    ]
+    got = {r.doc_id: (r.families, r.n_notices) for r in licences.scan(spark.createDataFrame(made, "doc_id bigint, text string"), licence_model).collect()}
+    assert got == {1: ("CC,MIT", 2), 2: ("MIT", 2), 3: ("GPL,ISC,MIT", 3), 4: ("AGPL", 1), 5: ("LGPL", 1), 6: ("Unlicense", 1)}
+
+
 def test_licences_of_odd_documents(spark, licence_model):
     got = licences.scan(frame(spark), licence_model).collect()
     assert len(got) == len(rows()) and all(r.family == licences.UNKNOWN and r.n_notices == 0 for r in got)

@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line, or a window of WINDOW words of a longer one (windows overlap by
-half, so a notice inside a long line is whole in one). Its hashed word n-grams of up to
+A paragraph is the lines up to an empty one, whose breaks count as white space, or a window
+of WINDOW words of a longer one (windows overlap by half, so a notice inside a long
+paragraph is whole in one). Its hashed word n-grams of up to
 three words go into a multinomial logistic regression over licence families and an unknown
 class, trained from the templates, variants of them, and a bounded sample of paragraphs
 of the corpus as unknown. The probability that a family must reach is calibrated on
@@ -95,6 +96,7 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
+_EMPTY_LINE = re.compile("\n[ \t\r\x0b\x0c]*\n")
 
 
 def plain(chunk: str) -> str:
@@ -293,8 +295,8 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
     random = np.random.default_rng(seed)
     unknown: list[list[str]] = []
     for text in texts:
-        for line in (text or "").split("\n"):
-            words = [w for c in line.split() if (w := plain(c))]
+        for paragraph in _EMPTY_LINE.split(text or ""):
+            words = [w for c in paragraph.split() if (w := plain(c))]
             unknown += [words[a : a + WINDOW] for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)] if words else []
     unknown = [u for u in unknown if max(similarity(u, f) for f in TEMPLATES) < SIMILARITY / 2]
     known, labels = variants(random, [w for u in unknown[:2000] for w in u[:5]])
@@ -365,8 +367,8 @@ class Scanner:
                     found = []
 
     def _group(self, texts: list[str]) -> list[list[tuple[str, float, float]]]:
-        lines = [t.split("\n") for t in texts]
-        flat = [x for ls in lines for x in ls]
+        paragraphs = [_EMPTY_LINE.split(t) for t in texts]
+        flat = [x for ps in paragraphs for x in ps]
         out: list[list[tuple[str, float, float]]] = [[] for _ in texts]
         words, which, last = chunks(flat)
         rows = self.codes.of(words)[which]
@@ -381,13 +383,13 @@ class Scanner:
         owner, start, lengths = owner[order], start[order], lengths[order]
         buckets, begins = ngrams(hashes, bounds[owner] + start, lengths)
         p = self.model.probabilities(buckets, begins, lengths)
-        text_of = np.repeat(np.arange(len(texts)), [len(ls) for ls in lines])
+        text_of = np.repeat(np.arange(len(texts)), [len(ps) for ps in paragraphs])
         likely = np.flatnonzero(1 - p[:, 0] >= self.model.threshold)
         for rows in np.split(likely, np.flatnonzero(np.diff(owner[likely])) + 1) if len(likely) else ():
-            line = owner[rows[0]]
-            line_words = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[line]) if (w := plain(c))]
+            place = owner[rows[0]]
+            now = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[place]) if (w := plain(c))]
             spans = list(zip(start[rows].tolist(), (start[rows] + lengths[rows]).tolist()))
-            out[text_of[line]] += notices(line_words, spans, p[rows])
+            out[text_of[place]] += notices(now, spans, p[rows])
         return out
 
 

@@ -107,6 +107,18 @@ def test_every_family_of_a_line_and_every_notice_of_a_family(spark, licence_mode
     assert got == {1: ("CC,MIT", 2), 2: ("MIT", 2), 3: ("GPL,ISC,MIT", 3), 4: ("AGPL", 1), 5: ("LGPL", 1), 6: ("Unlicense", 1)}
 
 
+def test_templates_wrapped_at_every_word(spark, licence_model):
+    scanner = licences.Scanner(licence_model)
+    for family, texts in licences.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            wrapped = [f"{' '.join(words[:k])}\n{' '.join(words[k:])}" for k in range(1, len(words))]
+            inside = [f"Ing the anre ouonre\nof then edtioner in {w}\nin inea that" for w in [*wrapped, "\n".join(words), "\r\n".join(words)]]
+            for found, body in zip(scanner.scan([*wrapped, *inside]), [*wrapped, *inside]):
+                assert [f for f, _, _ in found] == [family], body
+    assert list(scanner.scan(["Released under the\n \nMIT License."])) == [[]]
+
+
 def test_licences_of_odd_documents(spark, licence_model):
     got = licences.scan(frame(spark), licence_model).collect()
     assert len(got) == len(rows()) and all(r.family == licences.UNKNOWN and r.n_notices == 0 for r in got)

@@ -66,6 +66,21 @@ def test_thresholds_by_language():
     assert ((score >= toxicity.THRESHOLD) == (y == 1)).all()
 
 
+def test_a_full_word_cache_between_pieces_loses_no_words(monkeypatch):
+    model = toxicity.Model.fresh()
+    model.shift = np.zeros(len(toxicity.LANGUAGES))
+    texts = [" ".join(f"w{i * k % 101}x{i} the" for i in range(60)) for k in range(1, 30)]
+    original = toxicity.groups
+    monkeypatch.setattr(toxicity, "groups", lambda t, limit: original(t, 25))
+    pooled = []
+    monkeypatch.setattr(toxicity.Model, "logits", lambda self, x: pooled.append(x.copy()) or x.sum(axis=1))
+    toxicity.Scorer(model).scores(texts)
+    kept, pooled[:] = np.vstack(pooled), []
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 4)
+    toxicity.Scorer(model).scores(texts)
+    assert np.allclose(np.vstack(pooled), kept, atol=1e-6)
+
+
 @pytest.fixture(scope="module")
 def licence_model(spark):
     return licences.train(spark.read.parquet(f"{SF}/documents.parquet"))

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import exact_dedup, licences, packing, pieces, rp_forest, sharding, simhash, simple8b, token_counts, toxicity
-from reelspark.llm.common import table
+from reelspark.llm import blob_ledger, exact_dedup, licences, packing, pieces, rp_forest, sharding, simhash, simple8b, token_counts, toxicity, turn_repair
+from reelspark.llm.common import Stored, table
+from reelspark.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +130,139 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _of_kinds(spans, kinds):
+    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+
+def _span_list(spans):
+    """kind:start:end of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _span_sql(number: int, rule: blob_ledger.Rule) -> str:
+    """Spans of one rule: places from the lengths of what lies between its matches."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    size = f"length(regexp_extract(m[i], {pattern}, {rule.group}))"
+    return f"""(SELECT list({{'s': b, 'k': {number}, 'e': b + length(m[i])}}) FROM (
+        SELECT m, i, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS b
+        FROM (SELECT regexp_extract_all(t, {pattern}) AS m, regexp_split_to_array(t, {pattern}) AS g), range(1, len(m) + 1) r(i)
+        WHERE {size} >= {rule.least}))"""
+
+
+_KINDS = [r.kind for r in blob_ledger.RULES]
+_SHOW = f"array_to_string(list_transform(list_sort({{}}), lambda x: {_KINDS}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+
+
+@query(
+    "op13_blob_ledger",
+    f"""
+    WITH found AS (
+        SELECT doc_id, {", ".join(f"coalesce({_span_sql(i, r)}, []) AS s{i}" for i, r in enumerate(blob_ledger.RULES))}
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    )
+    SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex,
+           sha256({_SHOW.format("s0 || s1 || s2")}) AS base_sha256,
+           {_SHOW.format(" || ".join(f"s{i}" for i in range(len(_KINDS))))} AS spans
+    FROM found
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blob_ledger.scan_documents(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+    spans, base = F.col("spans"), [r.kind for r in blob_ledger.BASE]
+    counts = [F.size(_of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(_span_list(_of_kinds(spans, base)).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), _span_list(spans).alias("spans"))
+
+
+def _repair_sql() -> str:
+    """A turn a step from the last one on; per state the cost (nine digits) and the audit from there, in one text."""
+
+    def plus(x: str, cost: int, letter: str) -> str:
+        return f"(lpad(cast(cast({x}[:9] AS bigint) + {cost} AS varchar), 9, '0') || '{letter}' || {x}[10:])"
+
+    insert = lambda x: plus(x, 3, "I")
+    relaxed = {0: f"least(r0, {insert('r2')}, {insert(insert('r3'))})", 1: f"least(r1, {insert('r2')}, {insert(insert('r3'))})"}
+    relaxed |= {2: f"least(r2, {insert('r3')})", 3: f"least(r3, {insert('r2')})"}
+    extra = "CASE WHEN letter = upper(letter) THEN 3 ELSE 0 END"
+    moves = []
+    for state, keep in enumerate(({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})):
+        options = [plus(f"c{state}", 4, "D")]
+        options += [f"CASE WHEN lower(letter) = '{role}' THEN {plus(f'c{to}', 0, 'K').replace('+ 0', f'+ {extra}')} END" for role, to in keep.items()]
+        options.append(f"CASE WHEN letter <> 'x' THEN {plus('c3' if state == 2 else 'c2', 0, 'R').replace('+ 0', f'+ 3 + {extra}')} END")
+        moves.append(f"least({', '.join(options)}) AS r{state}")
+    after_edits = ", ".join(f"{v} AS c{k}" for k, v in relaxed.items())
+    return f"""
+    WITH RECURSIVE polynomials AS (
+        SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM range(256) r(i)
+    ), hashed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_concat([4294967295], list_transform(string_split(
+                   coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' '), ''), lambda ch: cast(ascii(ch) AS bigint))),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+        FROM conversations, polynomials
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM hashed, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+    ), told AS (
+        SELECT conv_id, turn, role, text, said, place, n, initial, lag(initial) OVER along AS before,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again
+        FROM (SELECT *, row_number() OVER along AS place, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS initial,
+                     rtrim(text, e' \\t\\n\\x0b\\x0c\\r') AS said
+              FROM damaged WINDOW along AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        WINDOW along AS (PARTITION BY conv_id ORDER BY place)
+    ), faults AS (
+        SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(own) ELSE own END AS letter
+        FROM (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                     CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS own FROM told)
+    ), totals AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faults GROUP BY conv_id
+    ), steps AS (
+        SELECT conv_id, max(n) AS place, '000000000' AS c0, '000000006II' AS c1, '000000003I' AS c2, '000000000' AS c3 FROM faults GROUP BY conv_id
+        UNION ALL
+        SELECT conv_id, place - 1, {after_edits}
+        FROM (SELECT steps.conv_id, steps.place, {", ".join(moves)}
+              FROM steps JOIN faults ON faults.conv_id IS NOT DISTINCT FROM steps.conv_id AND faults.place = steps.place)
+    ), best AS (
+        SELECT conv_id, cast(c0[:9] AS bigint) AS cost, c0[10:] AS audit FROM steps WHERE place = 0
+    ), edits AS (
+        SELECT conv_id, i, audit[i] AS edit, len(replace(audit[:i], 'I', '')) AS place
+        FROM best, range(1, len(audit) + 1) r(i) WHERE audit[i] <> 'D'
+    ), placed AS (
+        SELECT edits.conv_id, i, edit, role, text, row_number() OVER (PARTITION BY edits.conv_id ORDER BY i) AS nth,
+               max(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY edits.conv_id) AS led
+        FROM edits LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM edits.conv_id AND faults.place = edits.place AND edit <> 'I'
+    ), hashes AS (
+        SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':'
+                               || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS sha
+        FROM placed GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN totals ON totals.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN hashes ON hashes.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+@query("op12_turn_repair", _repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    damaged = turn_repair.damage(given)
+    told = Stored(turn_repair.report(damaged), "reports").df
+    hashes = turn_repair.digests(turn_repair.repaired(damaged, told)).withColumnRenamed("conv_id", "of")
+    asked = given.select(F.col("conv_id").alias("asked")).distinct()
+    full = asked.join(told, F.col("asked").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("asked").eqNullSafe(F.col("of")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return full.select(
+        F.col("asked").alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"),
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import blob_ledger, exact_dedup, licences, packing, pieces, rp_forest, sharding, simhash, simple8b, token_counts, toxicity, turn_repair
+from reelspark.llm import blob_ledger, exact_dedup, licences, packing, phrases, pieces, rp_forest, sharding, simhash, simple8b, token_counts, toxicity, turn_repair
 from reelspark.llm.common import Stored, table
 from reelspark.session import scratch_path
 
@@ -266,3 +266,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("asked").alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", nothing).alias("repaired_sha256"),
     )
+
+
+@query(
+    "op11_phrase_tiles",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+    ), lists AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
+        FROM lists, range(1, 4) r(size)
+    ), counts AS (
+        SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL
+    ), totals AS (
+        SELECT lang, sum(a)::bigint AS n FROM counts WHERE size = 1 GROUP BY lang
+    ), chosen AS (
+        SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND a >= 10
+    ), parts AS (
+        SELECT c.lang, c.phrase, c.size, c.a, k, h.a AS l, t.a AS r, (1000000 * c.a::hugeint * c.a::hugeint // (h.a::hugeint * t.a::hugeint))::bigint AS score
+        FROM chosen c, range(1, 3) r(k)
+        JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[:k], ' ')
+        JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[k + 1:], ' ')
+        WHERE k < c.size
+    ), weakest AS (
+        SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), longer AS (
+        SELECT lang, phrase, max(a) AS a FROM (
+            SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM chosen WHERE size = 3) GROUP BY lang, phrase
+    ), ranked AS (
+        SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, x.a DESC, encode(x.phrase)) AS rank
+        FROM weakest x LEFT JOIN longer y ON y.lang = x.lang AND y.phrase = x.phrase
+        WHERE y.a IS NULL OR 100 * y.a < 50 * x.a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

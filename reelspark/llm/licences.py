@@ -1,16 +1,18 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
 A paragraph is the lines up to an empty one, whose breaks count as white space, or a window
-of WINDOW words of a longer one (windows overlap by half, so a notice inside a long
-paragraph is whole in one). Its hashed word n-grams of up to
+of WINDOW words of a longer one (windows overlap by half). Its hashed word n-grams of up to
 three words go into a multinomial logistic regression over licence families and an unknown
 class, trained from the templates, variants of them, and a bounded sample of paragraphs
-of the corpus as unknown. The probability that a family must reach is calibrated on
-held-out paragraphs. Words that shingles of templates cover get a window of their own, so
-that a short notice does not drown in what stands around it. Where the known families
-together reach the probability, every family is tried: a notice counts if it shares at least SIMILARITY of its window's, or a template's, five-word
-shingles with a template of the family. Notices are told apart by their words: of those
-that share most of them, the most similar one stays.
+of the corpus as unknown. Its scale is fitted to held-out paragraphs, and so is the probability
+that each family must reach.
+
+Where the known families together are likely enough, the regression looks closer: at windows of
+SIZES words around there, so that short notices do not drown and two in a line are told apart.
+A window whose likeliest class is a family, with that family's probability reached, predicts that
+family, and a notice is a prediction that a template of the same family confirms: the template
+runs through the window and at least SIMILARITY of its five-word shingles are there. Of
+notices that share most of their words the most similar one stays.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from reelspark.llm.word_ids import Codes, chunks, groups
 from reelspark.llm.worker import held
 
 BUCKETS, NGRAMS, WINDOW = 1 << 16, 3, 24
+#: Words of the windows looked at closely, and by how many words each kind moves on.
+SIZES = ((6, 1), (12, 2), (24, 4))
+#: Words of a very long text's piece that the next piece sees again: more than any template has.
+CARRY = 128
 SHINGLE, SIMILARITY = 5, 0.8
 UNKNOWN = "unknown"
 #: Documents, of up to so many characters, whose paragraphs are the sample of the unknown class.
@@ -96,6 +102,9 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
+#: Longer texts come in pieces of about so many characters.
+PIECE = 1 << 20
+_CHUNK = re.compile("[^ \t\n\r\x0b\x0c]+")
 _EMPTY_LINE = re.compile("\n[ \t\r\x0b\x0c]*\n")
 
 
@@ -178,38 +187,32 @@ def occurrences(words: list[str], regions: list[tuple[int, int]]) -> list[tuple[
     return out
 
 
-def notices(words: list[str], spans: list[tuple[int, int]], p: np.ndarray) -> list[tuple[str, float, float]]:
-    """(family, probability, similarity) of the notices in or near windows `spans` of a paragraph, `p` being their probabilities."""
-    regions: list[tuple[int, int]] = []
-    for a, b in spans:
-        # A notice may reach over the window's ends.
-        wide = max(0, a - WINDOW), min(len(words), b + WINDOW)
-        if regions and wide[0] <= regions[-1][1]:
-            regions[-1] = regions[-1][0], wide[1]
-        else:
-            regions.append(wide)
+def close_windows(regions: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the windows of all SIZES within regions of a paragraph."""
+    starts, lengths = [], []
+    for a, b in regions:
+        for size, move in SIZES:
+            last = max(a, b - size)
+            at = np.unique(np.append(np.arange(a, last + 1, move), last))
+            starts.append(at)
+            lengths.append(np.minimum(size, b - at))
+    return np.concatenate(starts), np.concatenate(lengths)
+
+
+def confirmed(words: list[str], regions: list[tuple[int, int]], predicted: list[tuple[int, int, str, float]]) -> list[tuple[int, str, float, float]]:
+    """(first word, family, probability, similarity) of the predictions (begin, end, family, probability) that templates confirm."""
     found = []
     for family, number, hits in occurrences(words, regions):
         begin, end = hits[0][0], sum(hits[-1])
-        close, size = 0.0, len(_SHINGLES[family][number])
-        near, over = [], []
-        for i, (a, b) in enumerate(spans):
-            around = sum(a - WINDOW <= at and at + n <= b + WINDOW for at, n in hits)
-            if not around:
-                continue
-            near.append(i)
-            if a < end and b > begin:
-                over.append(i)
-            inside = sum(a <= at and at + n <= b for at, n in hits)
-            close = max(close, around / size, inside / (b - a - SHINGLE + 1) if b - a >= SHINGLE else 0.0)
-        if close >= SIMILARITY:
-            chance = float(p[over or near, FAMILIES.index(family)].max())
-            found.append((family, chance, min(1.0, close), {x for at, n in hits for x in range(at, at + n)}))
-    found.sort(key=lambda x: (-x[2], -len(x[3]), -x[1], x[0]))
+        close = len({at for at, _ in hits}) / len(_SHINGLES[family][number])
+        chances = [p for a, b, f, p in predicted if f == family and a < end and b > begin]
+        if close >= SIMILARITY and chances:
+            found.append((begin, family, max(chances), min(1.0, close), {x for at, n in hits for x in range(at, at + n)}))
+    found.sort(key=lambda x: (-x[3], -len(x[4]), -x[2], x[1]))
     out, taken = [], set()
-    for family, chance, close, at in found:
+    for begin, family, chance, close, at in found:
         if 2 * len(at & taken) <= len(at):
-            out.append((family, chance, close))
+            out.append((begin, family, chance, close))
             taken |= at
     return out
 
@@ -256,10 +259,14 @@ class Model:
     """(BUCKETS + 1, families); the last row is zero."""
     bias: np.ndarray
     threshold: float
+    """Of all families together, for a closer look."""
+    least: np.ndarray
+    """Of each family, to be predicted."""
+    scale: float = 1.0
 
     def probabilities(self, buckets: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         total = np.add.reduceat(self.weights[buckets].sum(axis=1), begins) if len(begins) else np.zeros((0, len(FAMILIES)), np.float32)
-        z = total / np.sqrt(np.maximum(lengths, 1))[:, None] + self.bias
+        z = self.scale * (total / np.sqrt(np.maximum(lengths, 1))[:, None] + self.bias)
         e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
         return e / e.sum(axis=1, keepdims=True) if len(z) else z
 
@@ -290,6 +297,20 @@ def variants(random: np.random.Generator, fillers: list[str], n: int = 25) -> tu
     return units, labels
 
 
+def fragments(random: np.random.Generator, fillers: list[str], n: int = 12) -> list[list[str]]:
+    """Word lists that hold a few words of a template among others, as prose does: these are no notices."""
+    out = []
+    for texts in TEMPLATES.values():
+        for text in texts:
+            words = [w for c in text.split() if (w := plain(c))]
+            for _ in range(n if len(words) > 2 * SHINGLE and fillers else 0):
+                size = int(random.integers(SHINGLE, SHINGLE + 3))
+                at = int(random.integers(len(words) - size + 1))
+                before, after = ([fillers[i] for i in random.integers(0, len(fillers), int(random.integers(3, 9)))] for _ in range(2))
+                out.append(before + words[at : at + size] + after)
+    return out
+
+
 def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
     """A model from the templates and the paragraphs of `texts`, which count as unknown unless they look like a template."""
     random = np.random.default_rng(seed)
@@ -299,7 +320,10 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
             words = [w for c in paragraph.split() if (w := plain(c))]
             unknown += [words[a : a + WINDOW] for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)] if words else []
     unknown = [u for u in unknown if max(similarity(u, f) for f in TEMPLATES) < SIMILARITY / 2]
-    known, labels = variants(random, [w for u in unknown[:2000] for w in u[:5]])
+    fillers = [w for u in unknown[:2000] for w in u[:5]]
+    known, labels = variants(random, fillers)
+    unknown += [u[a : a + n] for u in unknown[::3] for n, _ in SIZES[:2] if len(u) > n for a in (int(random.integers(len(u) - n + 1)),)]
+    unknown += fragments(random, fillers)
     units = [*known, *unknown]
     y = np.array([*labels, *[0] * len(unknown)])
     held = random.random(len(units)) < 0.25
@@ -307,7 +331,7 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
     lengths = np.array([len(u) for u in units], np.int64)
     buckets, begins = ngrams(flat, np.cumsum(lengths) - lengths, lengths)
     owner = np.repeat(np.arange(len(units)), lengths)
-    model = Model(np.zeros((BUCKETS + 1, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), 0.5)
+    model = Model(np.zeros((BUCKETS + 1, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), 0.5, np.full(len(FAMILIES), 0.5))
     share = np.bincount(y[~held], minlength=len(FAMILIES))
     weight = np.where(held, 0, 1 / np.sqrt(np.maximum(share, 1))[y])
     weight /= weight.sum()
@@ -327,15 +351,30 @@ def fit(texts: list[str | None], seed: int = 5, epochs: int = 20) -> Model:
         b_square += error.sum(axis=0) ** 2
         model.bias -= 0.1 * (error.sum(axis=0) / np.sqrt(b_square)).astype(np.float32)
         model.weights[BUCKETS] = 0
-    p = model.probabilities(buckets, begins, lengths)[held]
-    best = p[:, 1:].max(axis=1)
+    model.scale = min(np.geomspace(0.25, 4, 17), key=lambda scale: _loss(model, scale, buckets, begins, lengths, y, held))
+    p, y = model.probabilities(buckets, begins, lengths)[held], y[held]
+    best = 1 - p[:, 0]
     # Above nearly all unknown paragraphs, below nearly all notices; between them when that is possible.
-    high = np.quantile(best[y[held] == 0], 0.999) if (y[held] == 0).any() else 0.5
-    low = np.quantile(best[y[held] > 0], 0.02)
-    model.threshold = float(np.clip(min((high + low) / 2, low), 0.005, 0.9))
+    model.threshold = _between(best[y == 0], best[y > 0], 0.005)
+    likeliest = p.argmax(axis=1)
+    for f in range(1, len(FAMILIES)):
+        model.least[f] = _between(p[(y != f) & (likeliest == f), f], p[(y == f) & (likeliest == f), f], 0.2)
     return model
 
 
+def _loss(model: Model, scale: float, buckets, begins, lengths, y, held) -> float:
+    model.scale = scale
+    p = model.probabilities(buckets, begins, lengths)[held]
+    return float(-np.log(np.maximum(p[np.arange(len(p)), y[held]], 1e-12)).mean()) if len(p) else 0.0
+
+
+def _between(wrong: np.ndarray, right: np.ndarray, least: float) -> float:
+    """A probability above nearly all wrong ones and below nearly all right ones, where that is possible."""
+    high = np.quantile(wrong, 0.999) if len(wrong) else least
+    low = np.quantile(right, 0.02) if len(right) else least
+    return float(np.clip(min((high + low) / 2, low), least, 0.9))
+
+
 class Scanner:
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -357,40 +396,78 @@ class Scanner:
     def scan(self, texts) -> Iterator[list[tuple[str, float, float]]]:
         """(family, probability, similarity) of every confirmed notice of each text."""
         found: list[tuple[str, float, float]] = []
-        for group, more in groups(texts, 1 << 20):
+        carried = ""
+        for group, more in groups(texts, PIECE):
             if self.codes.full:
                 self._reset()
-            for one in self._group(group):
+            if carried:
+                group = [carried + group[0]]
+            rows, carried = self._group(group, more)
+            for one in rows:
                 found += one
                 if not more:
                     yield found
                     found = []
 
-    def _group(self, texts: list[str]) -> list[list[tuple[str, float, float]]]:
+    def _group(self, texts: list[str], more: bool = False) -> tuple[list[list[tuple[str, float, float]]], str]:
+        """Notices of each text, and what of the one text the next piece of it must see again if there is `more`.
+
+        A notice that begins in the words to be seen again is left to the next piece.
+        """
         paragraphs = [_EMPTY_LINE.split(t) for t in texts]
         flat = [x for ps in paragraphs for x in ps]
         out: list[list[tuple[str, float, float]]] = [[] for _ in texts]
+        carried, left = "", None
+        if more:
+            ends = [m for m in _CHUNK.finditer(flat[-1]) if plain(m.group())]
+            left = max(0, len(ends) - CARRY)
+            carried = texts[0][len(texts[0]) - len(flat[-1]) + (ends[left].start() if ends else 0) :]
         words, which, last = chunks(flat)
         rows = self.codes.of(words)[which]
-        hashes = self.hashes[rows]
+        hashes = self.hashes[rows]  # which learning may have replaced
         real = hashes < 1 << 40
         bounds = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], last])]
         hashes = hashes[real]
         owner, start, lengths = map(np.concatenate, zip(windows(np.diff(bounds)), covered(hashes, bounds)))
         if not len(owner):
-            return out
+            return out, carried
         order = np.lexsort((start, owner))
         owner, start, lengths = owner[order], start[order], lengths[order]
-        buckets, begins = ngrams(hashes, bounds[owner] + start, lengths)
-        p = self.model.probabilities(buckets, begins, lengths)
+        p = self._probabilities(hashes, bounds[owner] + start, lengths)
         text_of = np.repeat(np.arange(len(texts)), [len(ps) for ps in paragraphs])
         likely = np.flatnonzero(1 - p[:, 0] >= self.model.threshold)
         for rows in np.split(likely, np.flatnonzero(np.diff(owner[likely])) + 1) if len(likely) else ():
             place = owner[rows[0]]
-            now = [w for c in re.split("[ \t\n\r\x0b\x0c]+", flat[place]) if (w := plain(c))]
-            spans = list(zip(start[rows].tolist(), (start[rows] + lengths[rows]).tolist()))
-            out[text_of[place]] += notices(now, spans, p[rows])
-        return out
+            n = int(bounds[place + 1] - bounds[place])
+            regions: list[tuple[int, int]] = []
+            for a, b in zip(start[rows].tolist(), (start[rows] + lengths[rows]).tolist()):
+                # A notice may reach over the window's ends.
+                wide = max(0, a - WINDOW), min(n, b + WINDOW)
+                if regions and wide[0] <= regions[-1][1]:
+                    regions[-1] = regions[-1][0], max(regions[-1][1], wide[1])
+                else:
+                    regions.append(wide)
+            predicted = self._predicted(hashes, int(bounds[place]), regions)
+            if not predicted:
+                continue
+            now = [w for c in _CHUNK.findall(flat[place]) if (w := plain(c))]
+            for begin, family, chance, close in confirmed(now, regions, predicted):
+                if left is None or place < len(flat) - 1 or begin < left:
+                    out[text_of[place]].append((family, chance, close))
+        return out, carried
+
+    def _probabilities(self, hashes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        buckets, at = ngrams(hashes, begins, lengths)
+        return self.model.probabilities(buckets, at, lengths)
+
+    def _predicted(self, hashes: np.ndarray, begin: int, regions: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
+        """(begin, end, family, probability) of the windows in which the regression sees a family."""
+        start, lengths = close_windows(regions)
+        p = self._probabilities(hashes, begin + start, lengths)
+        family = p.argmax(axis=1)
+        chance = p[np.arange(len(p)), family]
+        seen = np.flatnonzero((family > 0) & (chance >= self.model.least[family]))
+        return [(int(start[i]), int(start[i] + lengths[i]), FAMILIES[family[i]], float(chance[i])) for i in seen]
 
 
 def train(docs: DataFrame) -> Model:

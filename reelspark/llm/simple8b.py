@@ -38,35 +38,67 @@ HEADER = struct.Struct("<IIQ")
 FRAMES = "part int, frame int, before long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escapes of one block of unsigned 64-bit values; the fullest selector that fits is taken each time."""
-    ids = np.ascontiguousarray(ids, np.uint64)
+#: Upper limits of what fits a selector's bits, narrowest first, and the class of every small value among them.
+_LIMITS = np.array([1 << b for _, b in SELECTORS], np.uint64)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+_COUNTS = np.array([c for c, _ in SELECTORS] + [1], np.int32)
+#: The walk over words goes by jumps of two to so many words.
+_DOUBLINGS = 4
+
+
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """For every place the fullest selector whose whole word of values from there on fits its bits."""
     n = len(ids)
-    choice = np.full(n, len(SELECTORS) - 1, np.uint8)
-    choice[ids >> np.uint64(60) > 0] = ESCAPE
-    # Narrower widths come later and win; each looks only at what the one before left.
-    narrow = np.arange(n)
+    wide = _SMALL[ids] if int(ids.max(initial=0)) < len(_SMALL) else np.searchsorted(_LIMITS, ids, "right").astype(np.uint8)
+    choice = wide.clip(len(SELECTORS) - 1)  # one value of up to 60 bits, or an escape
+    # Widest value of 1, 2, 4, … places from each on; any other number of places is two of these that overlap.
+    reach, widest = 1, {1: wide}
+    while 2 * reach <= min(n, SELECTORS[0][0]):
+        last = widest[reach]
+        widest[2 * reach] = np.maximum(last[:-reach], last[reach:])
+        reach *= 2
     for selector in range(len(SELECTORS) - 2, -1, -1):
-        count, bits = SELECTORS[selector]
-        narrow = narrow[ids[narrow] >> np.uint64(bits) == 0]
-        if len(narrow) < count:
+        count = SELECTORS[selector][0]
+        if count > n:
             break
-        choice[narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]] = selector
-    counts = np.array([c for c, _ in SELECTORS] + [1], np.int64)
-    step = counts[choice].tolist()
-    at, starts = 0, []
+        half = 1 << (count.bit_length() - 1)
+        whole = widest[half]
+        if count > half:
+            whole = np.maximum(whole[: n - count + 1], whole[count - half :])
+        choice[: n - count + 1][whole <= selector] = selector
+    return choice
+
+
+def _starts(step: np.ndarray) -> np.ndarray:
+    """0, step[0], and so on: every 2^_DOUBLINGS-th by itself, those between by jumps of all at once."""
+    n = len(step)
+    jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + step, n), np.int32(n))]
+    for _ in range(_DOUBLINGS):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, at, some = jumps.pop().tolist(), 0, []
     while at < n:
-        starts.append(at)
-        at += step[at]
-    first = np.array(starts, np.int64)
+        some.append(at)
+        at = far[at]
+    starts = np.array(some, np.int64)
+    for jump in reversed(jumps):
+        starts = np.stack([starts, jump[starts]], axis=1).reshape(-1)
+    return starts[starts < n]
+
+
+def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and escapes of one block of unsigned 64-bit values; the fullest selector that fits is taken each time."""
+    ids = np.ascontiguousarray(ids, np.uint64)
+    choice = _choices(ids)
+    first = _starts(_COUNTS[choice])
     chosen = choice[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector, (count, bits) in enumerate(SELECTORS):
         mine = np.flatnonzero(chosen == selector)
         if len(mine):
-            place = first[mine]
+            place, packed = first[mine], words[mine]
             for j in range(count):
-                words[mine] |= ids[place + j] << np.uint64(j * bits)
+                packed |= ids[place + j] << np.uint64(j * bits)
+            words[mine] = packed
     mine = np.flatnonzero(chosen == ESCAPE)
     words[mine] |= np.arange(len(mine), dtype=np.uint64)
     return words, ids[first[mine]]

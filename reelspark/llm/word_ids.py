@@ -3,7 +3,7 @@
 The word-level BPE of `word_bpe_49k.json` never joins characters across white space:
 normalisation, splitting and merging all end at it. So the ids of a document are the
 ids of its white-space-free chunks in order, and each worker asks the library once for
-each chunk it meets. `tests/llm/test_word_ids.py` holds this against whole-text calls.
+each chunk it meets. `tests/llm/test_token_files.py` holds this against whole-text calls.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _WHITE = re.compile("[ \\t\\n\\r\\x0b\\x0c]")
 # apostrophe (contractions), no "<" (special strings), nothing that normalisation composes.
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+|\n")
 # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
@@ -48,9 +48,11 @@ class Ragged:
         self.rows = self.used = 0
 
     def append(self, rows: list[bytes]) -> None:
-        values = np.frombuffer(b"".join(rows), np.uint32)
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        total, n = len(values), len(rows)
+        self.extend(np.frombuffer(b"".join(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Rows of these lengths, their contents one after the other."""
+        total, n = len(values), len(lengths)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.rows + n > len(self.starts):
@@ -174,31 +176,52 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids = Ragged()
+        self.ids, self.run_ids = Ragged(), Ragged()
         self.codes = Codes(self._learn)
-        self.runs: dict[str, bytes] = {}
+        self.runs = {"\n": 0}
+        self.run_ids.append([b""])
 
-    def _run(self, run: str) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = array("I", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
-            if len(self.runs) < MAX_CHUNKS // 2:
-                self.runs[run] = ids
-        return ids
+    def _rows_of(self, runs: list[str]) -> np.ndarray:
+        """Rows of `run_ids`, in which distinct runs are remembered while there is room."""
+        rows = np.fromiter(map(self.runs.get, runs, repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [runs[i] for i in missing.tolist()]
+            rows[missing] = given = np.arange(self.run_ids.rows, self.run_ids.rows + len(new))
+            spelled = [r if r.isascii() else r.encode().decode("latin-1").translate(_BYTE_CHARS) for r in new]
+            tokenize = self.library.model.tokenize
+            self.run_ids.append([array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled])
+            self.runs.update(zip(new, given.tolist()))
+        return rows
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of known runs, one after the other, and the number of each: all are lowered and cut at once."""
+        if len(self.runs) > MAX_CHUNKS:
+            self.run_ids, self.runs = Ragged(), {"\n": 0}
+            self.run_ids.append([b""])
+        runs = pa.array(_RUNS.findall("\n".join([*words, ""]).lower()), pa.string()).dictionary_encode()
+        rows = self._rows_of(runs.dictionary.to_pylist())[runs.indices.to_numpy()]
+        flat, done = self.run_ids.gather(rows)  # the line feed behind each word has no ids
+        return flat, np.diff(done[rows == 0], prepend=0)
 
     def _learn(self, words: list[str]) -> None:
-        rows: list = [None] * len(words)
-        rest = []
-        for i, word in enumerate(words):
-            if _PLAIN.fullmatch(word):
-                runs = _RUNS.findall(word.lower())
-                rows[i] = self._run(runs[0]) if len(runs) == 1 else b"".join([self._run(r) for r in runs])
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            rows[i] = array("I", e.ids).tobytes()
-        self.ids.append(rows)
+        known = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words))
+        lengths = np.zeros(len(words), np.int64)
+        parts = []
+        if known.any():
+            flat, lengths[known] = self._plain([words[i] for i in np.flatnonzero(known).tolist()])
+            parts.append(flat)
+        if not known.all():
+            rest = [e.ids for e in self.library.encode_batch_fast([words[i] for i in np.flatnonzero(~known).tolist()], add_special_tokens=False)]
+            lengths[~known] = list(map(len, rest))
+            parts.append(np.frombuffer(b"".join([array("I", r).tobytes() for r in rest]), np.uint32))
+        # The others' ids lie behind those of plain words: each row from where it lies to its place.
+        order = np.argsort(~known, kind="stable")
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+        self.ids.extend(np.concatenate(parts)[at], lengths)
 
     def documents(self, texts: Iterable[str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
         """uint32 ids of each text (null: empty), in order, with `end_id` behind them."""

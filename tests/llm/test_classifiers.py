@@ -134,6 +134,69 @@ def test_templates_wrapped_at_every_word(spark, licence_model):
     assert list(scanner.scan(["Released under the\n \nMIT License."])) == [[]]
 
 
+PROSE = [
+    "He may rent the flat under the terms of the contract he signed in May.",
+    "Under the terms of the lease he owes rent for any purpose with or without cause.",
+    "She walked free of charge to any person obtaining a copy of her book",
+    "You may not use this file except in compliance with company policy.",
+    "You may use this software under the terms of the MIT licence.",
+    "MIT License\n\nCopyright (c) 2020 X",
+    "Released under the MIT Lisence.",
+    "Released under the terms he had asked for.",
+]
+WORDS = "the of and to in is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would".split()
+
+
+def test_prose_with_phrases_of_templates_holds_no_notice(licence_model):
+    random = np.random.default_rng(8)
+    long = [t.split() for texts in licences.TEMPLATES.values() for t in texts if len(t.split()) > 2 * licences.SHINGLE]
+    made = []
+    for k in range(200):
+        words = long[k % len(long)]
+        size = int(random.integers(licences.SHINGLE, licences.SHINGLE + 3))
+        at = int(random.integers(len(words) - size + 1))
+        around = [" ".join(random.choice(WORDS, int(random.integers(2, 12)))) for _ in range(2)]
+        made.append(f"{around[0]} {' '.join(words[at : at + size])} {around[1]}.")
+    scanner = licences.Scanner(licence_model)
+    wrong = [t for t, found in zip([*PROSE, *made], scanner.scan([*PROSE, *made])) if found]
+    assert not wrong
+
+
+def test_one_misspelt_word_in_a_long_notice(licence_model):
+    for family, texts in licences.TEMPLATES.items():
+        text = max(texts, key=len)
+        words = text.split()
+        if len(words) > 29:
+            words[1] = words[1][:-1] + "q"
+            assert [f for f, _, _ in next(licences.Scanner(licence_model).scan([" ".join(words)]))] == [family]
+
+
+def test_a_notice_at_every_offset_around_a_cut(licence_model, monkeypatch):
+    monkeypatch.setattr(licences, "PIECE", 1500)
+    scanner = licences.Scanner(licence_model)
+    notice = " Released under the MIT License. "
+    filler = " ".join(WORDS[i * 7 % len(WORDS)] for i in range(700))
+    for at in range(1400, 1560):
+        cut = filler.index(" ", at)
+        text = filler[:cut] + notice + filler[cut:]
+        assert [f for f, _, _ in next(scanner.scan([text]))] == ["MIT"], at
+    # Notices behind each other, cut again and again: each counts once.
+    text = (notice + " ".join(WORDS) + " " + " ".join(WORDS[::-1])) * 40
+    assert len(next(scanner.scan([text]))) == 40
+    assert [len(f) for f in scanner.scan([filler, text, "", None, notice])] == [0, 40, 0, 0, 1]
+
+
+def test_the_regression_decides_the_family(licence_model):
+    notices = [t for texts in licences.TEMPLATES.values() for t in texts]
+    blind = licences.Model(np.zeros_like(licence_model.weights), np.zeros_like(licence_model.bias), 0.0, licence_model.least)
+    assert not any(licences.Scanner(blind).scan(notices))
+    # A regression that takes each family for the next one is confirmed by no template.
+    order = [0, *np.roll(np.arange(1, len(licences.FAMILIES)), 1)]
+    wrong = licences.Model(licence_model.weights[:, order], licence_model.bias[order], licence_model.threshold, licence_model.least[order], licence_model.scale)
+    found = [f for one in licences.Scanner(wrong).scan(notices) for f, _, _ in one]
+    assert len(found) < len(notices) / 10
+
+
 def test_licences_of_odd_documents(spark, licence_model):
     got = licences.scan(frame(spark), licence_model).collect()
     assert len(got) == len(rows()) and all(r.family == licences.UNKNOWN and r.n_notices == 0 for r in got)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.session import scratch_path
+from reelspark.session import discard, materialize
 
 #: Documents per Arrow batch: a batch of ordinary documents is some megabytes.
 BATCH_ROWS = 512
@@ -24,17 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Stored:
-    """A DataFrame written to the shared folder: survives lost executors, can be deleted when a later step replaces it."""
+    """A DataFrame written to the shared folder: survives lost executors, can be deleted when a later step replaces it.
+
+    What is not deleted by then goes with `session.release`.
+    """
 
     def __init__(self, df: DataFrame, name: str) -> None:
-        self.path = scratch_path(df.sparkSession, name)
-        df.write.parquet(self.path)
-        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
+        self.df = materialize(df, name)
+        self.path = self.df._scratch_path
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        discard(self.df)
 
 
 def keep_only(df: DataFrame, key: str, keepers: DataFrame, keeper_key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import DURATION_EDGES_S
 from reelspark.operators import tower_inputs as ti
-from reelspark.operators import vector_search
+from reelspark.operators import vector_index, vector_search
 from reelspark.operators.two_tower import TwoTowerRetriever
 from reelspark.params import TwoTowerParams
 from reelspark.registry.common import query, view
@@ -245,16 +245,26 @@ def two_tower_lists(spark, d):
     return model.recommend(targets.select("user_id").distinct(), K, exclusions, s.available, SEED)
 
 
+view(
+    "t_vector_scores",
+    # A sum from the first coordinate to the last, as exact search defines a score.
+    """
+    SELECT a.vec_id AS user_id, b.vec_id AS item_id, list_reduce(list_concat([0.0::double],
+               list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])), lambda x, y: x + y) AS score
+    FROM (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings) a
+    CROSS JOIN (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings) b WHERE a.vec_id <> b.vec_id
+    """,
+)
+
+
 @query(
     "f14_vector_top_k",
     f"""
-    WITH e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings),
-    s AS (SELECT a.vec_id AS user_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 9) AS score
-          FROM e a CROSS JOIN e b WHERE a.vec_id <> b.vec_id)
     SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,
                md5('{SEED}:' || cast(item_id AS varchar)), item_id) AS rank, score
-    FROM s QUALIFY rank <= {K}
+    FROM t_vector_scores QUALIFY rank <= {K}
     """,
+    ("t_vector_scores",),
 )
 def vector_top_k(spark, d):
     """Exact nearest vectors of every embedding, itself excluded."""
@@ -280,3 +290,46 @@ def pair_scores(spark, d):
     items = vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     pairs = users.select("user_id", (F.col("user_id") + 1).alias("item_id"))
     return vector_search.pair_scores(pairs, users, items).withColumn("score", F.round("score", 6))
+
+
+#: Every so manieth vector asks the approximate index.
+QUERY_STRIDE, LIST_ROWS = 20, 128
+
+
+def _vector_sides(spark, d):
+    vectors = fixtures.table(spark, d, "embeddings")
+    asking = vectors.filter(F.col("vec_id") % QUERY_STRIDE == 0)
+    users = materialize(asking.select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector")), "asking")
+    items = vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return users, items, users.select("user_id", F.col("user_id").alias("item_id"))
+
+
+def _approximate(spark, d):
+    users, items, own = _vector_sides(spark, d)
+    index = vector_index.InvertedIndex.build(items, SEED, LIST_ROWS)
+    probes, depth, _ = index.calibrated(users, K, own, SEED)
+    return index.search(users, K, own, SEED, probes, depth)
+
+
+@query("f14_approximate_top_k")
+def approximate_top_k(spark, d):
+    """Nearly nearest vectors of a twentieth of the embeddings, among all of them."""
+    return _approximate(spark, d)
+
+
+@query(
+    "f14_approximate_recall",
+    f"""
+    SELECT count(*) AS asked_pairs, true AS nine_tenths_found, cast(0 AS bigint) AS wrong_scores FROM (
+        SELECT user_id FROM t_vector_scores WHERE user_id % {QUERY_STRIDE} = 0
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC) <= {K})
+    """,
+    ("t_vector_scores",),
+)
+def approximate_recall(spark, d):
+    """Recall of the approximate lists against exact search; where both have an item, their scores agree."""
+    users, items, own = _vector_sides(spark, d)
+    found = materialize(_approximate(spark, d), "approximate").select("user_id", "item_id", F.col("score").alias("near"))
+    both = vector_search.exact_top_k(users, items, K, own, SEED).join(found, ["user_id", "item_id"], "left")
+    counts = both.agg(F.count(F.lit(1)).alias("asked_pairs"), F.count("near").alias("n"), F.count_if(F.col("near") != F.col("score")).alias("wrong_scores"))
+    return counts.select("asked_pairs", (F.col("n") >= 0.9 * F.col("asked_pairs")).alias("nine_tenths_found"), "wrong_scores")

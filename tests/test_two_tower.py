@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.operators import catalog as cat
 from reelspark.operators import tower_inputs as ti
 from reelspark.operators import tower_math as tm
-from reelspark.operators import two_tower, vector_search
+from reelspark.operators import ball_tree, two_tower, vector_index, vector_search
 from reelspark.operators.eval_ranking import evaluate_ranking
 from reelspark.params import TwoTowerParams
 from reelspark.sources import tables
@@ -119,29 +119,120 @@ def vectors(spark, matrix, id_column):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], f"{id_column} bigint, vector array<double>")
 
 
+def folded(users, items):
+    """Scores as sums from the first coordinate to the last."""
+    return np.array([np.cumsum(items * u, axis=1)[:, -1] for u in users])
+
+
+def full_sort(users, items, barred, k, seed):
+    import hashlib
+
+    tie = [hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in range(len(items))]
+    scores = folded(users, items)
+    gone = defaultdict(set)
+    for u, i in barred:
+        gone[u].add(i)
+    return {u: sorted((i for i in range(len(items)) if i not in gone[u]), key=lambda i: (-scores[u, i], tie[i], i))[:k] for u in range(len(users))}
+
+
+def lists_of(found):
+    got = defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got[r["user_id"]].append(r["item_id"])
+    return got
+
+
+def clustered(rng, n_items, n_users, dim=6, centers=5):
+    middles = rng.normal(size=(centers, dim)) * 3
+    items = middles[rng.integers(0, centers, n_items)] + rng.normal(size=(n_items, dim)) * 0.2
+    users = middles[rng.integers(0, centers, n_users)] + rng.normal(size=(n_users, dim)) * 0.2
+    return users, items
+
+
 def test_vector_search_equals_a_full_sort(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "ITEM_BLOCK", 16)
     monkeypatch.setattr(vector_search, "USER_BLOCK", 8)
-    monkeypatch.setattr(vector_search, "PIVOTS", 6)
-    rng = np.random.default_rng(2)
-    centers = rng.normal(size=(5, 6)) * 3
-    items = centers[rng.integers(0, 5, 300)] + rng.normal(size=(300, 6)) * 0.2
+    users, items = clustered(np.random.default_rng(2), 300, 40)
     items[100:200] = items[0]  # a hot group of equal vectors
-    users = centers[rng.integers(0, 5, 40)] + rng.normal(size=(40, 6)) * 0.2
+    items[250] = 0
     barred = [(0, i) for i in range(150)] + [(u, u) for u in range(1, 40)]
     exclusions = spark.createDataFrame(barred, "user_id bigint, item_id bigint")
     found = vector_search.exact_top_k(vectors(spark, users, "user_id"), vectors(spark, items, "item_id"), 5, exclusions, 3)
-    got = defaultdict(list)
-    for r in sorted(found.collect(), key=lambda r: r["rank"]):
-        got[r["user_id"]].append(r["item_id"])
-    import hashlib
-
-    tie = [hashlib.md5(f"3:{i}".encode()).hexdigest() for i in range(300)]
-    scores = np.round(users @ items.T, 9)
-    for u in range(40):
-        gone = {i for v, i in barred if v == u}
-        want = sorted((i for i in range(300) if i not in gone), key=lambda i: (-scores[u, i], tie[i], i))[:5]
-        assert got[u] == want
+    assert lists_of(found) == full_sort(users, items, barred, 5, 3)
+
+
+def test_the_least_difference_of_scores_counts(spark):
+    """Items whose scores differ by 1e-12, and by one unit in the last place, behind others that tie exactly."""
+    items = np.array([[1.0, 0.0], [1.0 + 1e-12, 0.0], [1.0 + 1e-12 + 2.3e-16, 0.0], [0.5, 0.5], [0.5, 0.5], [1.0 - 1e-12, 0.0]])
+    users = np.array([[1.0, 1.0], [1.0, 0.0]])
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    got = lists_of(vector_search.exact_top_k(vectors(spark, users, "user_id"), vectors(spark, items, "item_id"), 6, nobody, 3))
+    assert got[0][:2] == [2, 1] and got[0][5] == 5 and set(got[0][2:5]) == {0, 3, 4}
+    assert got == full_sort(users, items, [], 6, 3)
+
+
+def test_nothing_to_search(spark):
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    none = spark.createDataFrame([], "item_id bigint, vector array<double>")
+    one = vectors(spark, np.ones((1, 2)), "user_id")
+    assert vector_search.exact_top_k(one, none, 3, nobody, 3).count() == 0
+
+
+def test_trees_grow_with_the_items_and_bound_them(spark):
+    nodes = []
+    for n in (400, 1600):
+        _, items = clustered(np.random.default_rng(3), n, 1, centers=40)
+        items[: n // 3] = items[0]
+        tree = ball_tree.build(vectors(spark, items, "item_id"), "item_id", 16, 4)
+        rows = tree.placed.collect()
+        assert len(rows) == n
+        leaves = {r["node"]: r for r in tree.levels[-1].collect()}
+        by_part = defaultdict(int)
+        for r in rows:
+            leaf = leaves[r["node"]]
+            assert np.linalg.norm(np.array(r["vector"]) - leaf["center"]) <= leaf["radius"] + 1e-9
+            by_part[r["node"], r["part"]] += 1
+        assert max(by_part.values()) <= 48
+        for above, below in zip([[0], *[[r["node"] for r in x.collect()] for x in tree.levels]], tree.levels):
+            assert {r["parent"] for r in below.collect()} <= set(above)
+        nodes.append(len(leaves))
+    assert nodes[1] > 2 * nodes[0]
+
+
+def test_bounds_rule_out_leaves_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "ITEM_BLOCK", 48)
+    monkeypatch.setattr(vector_search, "USER_BLOCK", 8)
+    kept, original = [], vector_search.surviving
+
+    def counted(chunks, levels):
+        out = original(chunks, levels)
+        kept.append((out.count(), chunks.count() * levels[-1].count()))
+        return out
+
+    monkeypatch.setattr(vector_search, "surviving", counted)
+    users, items = clustered(np.random.default_rng(4), 800, 60, dim=8, centers=12)
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    found = vector_search.exact_top_k(vectors(spark, users, "user_id"), vectors(spark, items, "item_id"), 5, nobody, 3)
+    assert lists_of(found) == full_sort(users, items, [], 5, 3)
+    assert kept[0][0] < 0.5 * kept[0][1]
+
+
+def test_approximate_lists_reach_their_recall(spark):
+    users, items = clustered(np.random.default_rng(5), 900, 70, dim=12, centers=9)
+    items[:300] = items[0]
+    barred = spark.createDataFrame([(u, i) for u in range(5) for i in range(200)], "user_id bigint, item_id bigint")
+    u, v = vectors(spark, users, "user_id"), vectors(spark, items, "item_id")
+    index = vector_index.InvertedIndex.build(v, 3, list_rows=40, slices=5)
+    sizes = [len(r["item_ids"]) for r in index.lists.collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 120
+    probes, depth, reached = index.calibrated(u, 5, barred, 3)
+    found = index.search(u, 5, barred, 3, probes, depth)
+    exact = vector_search.exact_top_k(u, v, 5, barred, 3)
+    assert reached >= 0.9 and vector_index.recall(found, exact) >= 0.9
+    assert found.join(exact.withColumnRenamed("score", "s"), ["user_id", "item_id"]).filter("score <> s").count() == 0
+    # All lists and all candidates: nothing is lost.
+    assert vector_index.recall(index.search(u, 5, barred, 3, 1000, 900), exact) == 1
+    assert found.groupBy("user_id").count().filter("count <> 5").count() == 0
 
 
 @pytest.fixture(scope="module")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import Stored
+from reelspark.llm.common import BATCH_ROWS, Stored
 
 MIN_COUNT, MAX_WORDS, TOP, KEEP_SHARE = 10, 3, 2000, 50
 CHUNK_WORDS = 1 << 18
@@ -172,15 +172,17 @@ def _counted(words: bool):
 
 
 @contextmanager
-def _batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _settings(spark: SparkSession, batch_rows: int):
+    """Arrow batches of so many rows, and tables of long arrays packed tightly, inside."""
+    inside = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows), "spark.sql.parquet.compression.codec": "zstd"}
+    before = {name: spark.conf.get(name) for name in inside}
+    for name, value in inside.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _sums(level: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def _level(below: Stored, units: DataFrame, words: bool, name: str) -> Stored:
         F.collect_list(F.struct(number.cast("long").alias("unit"), "id")).alias("x")
     )
     chunks = below.df.select("chunk", "lang", "run").join(ids, "chunk").select("chunk", "lang", "run", F.col("x.unit").alias("unit"), F.col("x.id").alias("id"))
-    with _batches(spark, BATCH_CHUNKS):
+    with _settings(spark, BATCH_CHUNKS):
         made = Stored(chunks.mapInArrow(_counted(words), LEVEL), name)
     below.drop()
     return made
@@ -249,7 +251,8 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX
     `kept` is false where a phrase of more words holds it and has `keep_share` percent of its count.
     """
     given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    level = Stored(given.mapInArrow(_chunks, CHUNKS), "chunks")
+    with _settings(docs.sparkSession, BATCH_ROWS):
+        level = Stored(given.mapInArrow(_chunks, CHUNKS), "chunks")
     words = Stored(_sums(level.df), "words").df
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<long>")

@@ -193,9 +193,9 @@ def diversity(spark, d):
 
 view(
     "r_exposed",
-    "SELECT user_id, item_id, max(is_click) AS is_click, max(long_view) AS long_view FROM fx_large "
+    "SELECT user_id, item_id, max(is_click) AS is_click, max(long_view) AS long_view FROM m_large "
     "WHERE split = 'val' GROUP BY user_id, item_id",
-    "fx_large",
+    "m_large",
 )
 view(
     "r_scored",
@@ -427,7 +427,7 @@ def evaluate_models(spark, d):
 
 view(
     "w_scored",
-    "SELECT e.user_id, e.is_click AS y, p.score FROM (SELECT user_id, item_id, max(is_click) AS is_click FROM fx_large "
+    "SELECT e.user_id, e.is_click AS y, p.score FROM (SELECT user_id, item_id, max(is_click) AS is_click FROM m_large "
     "WHERE split = 'val' AND source = 'random' GROUP BY ALL) e JOIN m_popular p USING (item_id)",
     "m_popular",
 )

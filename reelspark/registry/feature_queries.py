@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.operators import point_in_time as pit
+from reelspark.operators.asof import asof_join
 from reelspark.params import FeatureParams
 from reelspark.registry.common import query, view
 from reelspark.session import materialize, scratch_path
@@ -336,3 +337,36 @@ def asof_item_totals(spark, d):
     return totals.select(
         "item_id", "date", F.col("_impr_all").alias("impr"), F.col("_impr_7d").alias("impr_7d")
     )
+
+
+view(
+    # Of rows of one time the largest other columns count, so that both engines take the same one.
+    "f_liked_rows",
+    "SELECT user_id, time_ms, max((item_id, long_view, play_time_ms)) AS row FROM f_events WHERE is_click = 1 GROUP BY user_id, time_ms",
+    "f_events",
+)
+
+
+def _asof_sql(sign: str) -> str:
+    return f"""
+    SELECT q.user_id, q.item_id, q.time_ms, a.time_ms AS asof_time_ms, a.row[1] AS asof_item_id, a.row[2] AS asof_long_view, a.row[3] AS asof_play_time_ms
+    FROM f_asked q ASOF LEFT JOIN f_liked_rows a ON a.user_id = q.user_id AND q.time_ms {sign} a.time_ms
+    """
+
+
+def _liked_before(spark, d, inclusive: bool):
+    _, _, events, asked = _inputs(spark, d)
+    liked = events.filter("is_click = 1").select("user_id", "time_ms", "item_id", "long_view", "play_time_ms")
+    return asof_join(asked.select("user_id", "item_id", "time_ms"), liked, ["user_id"], "time_ms", inclusive=inclusive)
+
+
+@query("j1_asof_rows", _asof_sql(">"), ("f_asked", "f_liked_rows"))
+def asof_rows(spark, d):
+    """Each impression with what its user clicked last before it, as a whole row."""
+    return _liked_before(spark, d, False)
+
+
+@query("j1_asof_rows_inclusive", _asof_sql(">="), ("f_asked", "f_liked_rows"))
+def asof_rows_inclusive(spark, d):
+    """The same, with clicks of the same instant."""
+    return _liked_before(spark, d, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import expressions as X
 from reelspark.operators import catalog, contracts, ingest, point_in_time, profile
 from reelspark.registry.common import AGE_LABELS, DURATION_LABELS, FLAG_NAMES, label_sql, query
+from reelspark.registry.model_queries import with_unknown_items
 from reelspark.session import scratch_path
 from reelspark.sources import fixtures, logs, tables
 
@@ -231,13 +232,12 @@ def unique_violations(spark, d):
 
 @query(
     "b7_items_without_features",
-    "SELECT count(DISTINCT item_id) AS logged_items_missing_features FROM fx_large "
-    "WHERE item_id NOT IN (SELECT item_id FROM fx_items WHERE video_type <> 'STANDARD')",
-    ("fx_large",),
+    "SELECT count(DISTINCT item_id) AS logged_items_missing_features FROM m_large WHERE item_id NOT IN (SELECT item_id FROM fx_items)",
+    ("m_large", "fx_items"),
 )
 def items_without_features(spark, d):
-    known = fixtures.items(spark, d).filter(F.col("video_type") != "STANDARD")
-    return contracts.items_without_features(fixtures.interactions_large(spark, d), known)
+    log = with_unknown_items(fixtures.interactions_large(spark, d))
+    return contracts.items_without_features(log, fixtures.items(spark, d))
 
 
 @query(

@@ -21,16 +21,17 @@ from reelspark.sources import fixtures, tables
 SEED, K, HISTORY, NEIGHBORS, SHRINKAGE, WINDOW = 17, 10, 20, 15, 10.0, 60
 AS_OF = date(2000, 7, 1)
 
-# Item table of the models: one item type is missing, so that the catalog must
-# take logged items in, and uploads reach past the eval window.
+# Uploads reach past the eval window. Some impressions are of items that the item
+# table does not know, so that the catalog must take logged items in.
+UNKNOWN_ITEM = 1_000_000_000
+view("m_items", "SELECT * REPLACE (DATE '2000-11-20' + cast((item_id * 13) % 55 AS integer) AS upload_dt) FROM fx_items", "fx_items")
 view(
-    "m_items",
-    "SELECT * REPLACE (DATE '2000-11-20' + cast((item_id * 13) % 55 AS integer) AS upload_dt) "
-    "FROM fx_items WHERE video_type <> 'STANDARD'",
-    "fx_items",
+    "m_large",
+    f"SELECT * REPLACE (CASE WHEN (item_id * 31 + user_id) % 23 = 7 THEN item_id + {UNKNOWN_ITEM} ELSE item_id END AS item_id) FROM fx_large",
+    "fx_large",
 )
-view("m_fit", "SELECT * FROM fx_large WHERE date < DATE '2000-07-01' AND source = 'standard'", "fx_large")
-view("m_eval", "SELECT * FROM fx_large WHERE split = 'val' AND source = 'standard'", "fx_large")
+view("m_fit", "SELECT * FROM m_large WHERE date < DATE '2000-07-01' AND source = 'standard'", "m_large")
+view("m_eval", "SELECT * FROM m_large WHERE split = 'val' AND source = 'standard'", "m_large")
 view(
     "m_catalog",
     """
@@ -146,12 +147,18 @@ view(
 )
 
 
+def with_unknown_items(log):
+    """`log` with some impressions of items that no item table has."""
+    known = (F.col("item_id") * 31 + F.col("user_id")) % 23 != 7
+    return log.withColumn("item_id", F.when(known, F.col("item_id")).otherwise(F.col("item_id") + UNKNOWN_ITEM))
+
+
 class Setting:
     """The shared model fixture: fit window, eval set, catalog, targets."""
 
     def __init__(self, spark, d):
-        large = fixtures.interactions_large(spark, d)
-        items = fixtures.items(spark, d).filter(F.col("video_type") != "STANDARD")
+        large = with_unknown_items(fixtures.interactions_large(spark, d))
+        items = fixtures.items(spark, d)
         shifted = F.date_add(F.lit("2000-11-20").cast("date"), ((F.col("item_id") * 13) % 55).cast("int"))
         self.items = items.withColumn("upload_dt", shifted)
         self.large = large
@@ -190,7 +197,7 @@ def catalog(spark, d):
 
 @query(
     "e2_known_items",
-    "SELECT item_id, item_id IN (SELECT item_id FROM m_catalog) AS known FROM (SELECT DISTINCT item_id FROM fx_large)",
+    "SELECT item_id, item_id IN (SELECT item_id FROM m_catalog) AS known FROM (SELECT DISTINCT item_id FROM m_large)",
     ("m_catalog",),
 )
 def known_items(spark, d):

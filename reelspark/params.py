@@ -113,5 +113,5 @@ class TwoTowerParams:
     epochs: int = 2
     lr: float = 0.002
     max_examples: int | None = None
-    shard_rows: int = 8_192
-    parallel_shards: int = 1
+    shard_rows: int = 4_096
+    parallel_shards: int = 64

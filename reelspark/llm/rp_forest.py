@@ -6,7 +6,8 @@ pair is rarely parted in one tree, and hardly ever in all TREES of them. Trees g
 passes over all vectors: each pass fits up to LEVELS levels of every large node on a
 bounded sample of it (about SAMPLE rows, chosen by a hash) and splits all its rows, until
 no node is large. A node that cannot be split without parting too many near vectors stays
-whole and is compared block by block.
+whole and is compared block by block. Where one tree has all vectors of a label in one leaf, that tree
+compares all pairs, and the other trees leave that label out.
 
 Within a leaf all pairs are compared by one matrix product, and what leaves the task is no
 pair but a number of links per vector and one edge per vector to the smallest one of its
@@ -93,8 +94,11 @@ def leaves_of(p: np.ndarray, splits: np.ndarray, width: float) -> tuple[np.ndarr
 
 def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(leaf, point): the leaves of every point; `points` has point, label, dim, embedding."""
-    key = F.concat_ws(":", "label", "dim", F.col("tree").cast("string"))
-    state = points.select("point", "embedding", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label", "dim")
+    key = F.concat_ws(":", F.hex("label"), "dim", F.col("tree").cast("string"))
+    counts = points.groupBy("label", "dim").agg(F.count("*").alias("all"))
+    planted = points.join(counts, ["label", "dim"])
+    last = F.when(F.col("all") <= leaf, 0).otherwise(trees - 1)  # one leaf holds a small label
+    state = planted.select("point", "embedding", F.explode(F.sequence(F.lit(0), last)).alias("tree"), "label", "dim")
     now = Stored(state.select(key.alias("key"), "point", "embedding", F.lit(False).alias("whole")), "forest")
     done: list[DataFrame] = []
 
@@ -139,6 +143,8 @@ def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEA
         sample = now.df.join(large, "key").where(share < F.lit(float(SAMPLE)) / F.col("n")).select("key", "embedding", "n")
         fitted = sample.groupBy("key").applyInPandas(fit, "key string, splits array<float>")
         models = Stored(large.select("key").join(fitted, "key", "left"), "splits").df
+        if len(done) == 1:
+            models = _without_spare_trees(models)
         # A hot node is many rows of one key here: adaptive execution splits such a join.
         rows = now.df.select("key", "point", "embedding").join(models, "key")
         after = Stored(rows.mapInPandas(split, "key string, point long, embedding array<float>, whole boolean"), "forest")
@@ -150,6 +156,34 @@ def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEA
     return leaves.select(F.xxhash64("key").alias("leaf"), "point")
 
 
+def _without_spare_trees(models: DataFrame) -> DataFrame:
+    """Splits of roots; of a label that a tree keeps whole only those of the first such tree."""
+    of_label = models.withColumn("label", F.substring_index("key", ":", 2)).withColumn("tree", F.substring_index("key", ":", -1).cast("int"))
+    whole = of_label.where(F.element_at("splits", 1) == float("-inf")).groupBy("label").agg(F.min("tree").alias("alone"))
+    kept = of_label.join(whole, "label", "left").where(F.col("alone").isNull() | (F.col("tree") == F.col("alone")))
+    return kept.select("key", "splits")
+
+
+def shares_lower(leaves: list, leaf: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b of each pair share a leaf with a number below `leaf`; `leaves` are those of each row."""
+    lower = [np.asarray(v)[np.asarray(v) < leaf] for v in leaves]
+    width = max(map(len, lower), default=0)
+    out = np.zeros(len(a), bool)
+    if not width:
+        return out
+    # Numbers as codes from 1; 0 and -1 fill up and never match each other.
+    numbers, codes = np.unique(np.concatenate(lower), return_inverse=True)
+    place = np.repeat(np.arange(len(lower)), list(map(len, lower)))
+    column = np.concatenate([np.arange(len(v)) for v in lower])
+    left, right = np.zeros((len(lower), width), np.int32), np.full((len(lower), width), -1, np.int32)
+    left[place, column] = right[place, column] = codes + 1
+    step = max(1, (1 << 22) // (width * width))
+    for i in range(0, len(a), step):
+        x, y = left[a[i : i + step]], right[b[i : i + step]]
+        out[i : i + step] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    return out
+
+
 def grouped(near: np.ndarray) -> np.ndarray:
     """For each row of a symmetric relation, the first row of its connected group."""
     label = np.arange(len(near))
@@ -173,10 +207,8 @@ def _compare(cosine: float):
             near &= block[:, None] != block[None]
         counted = near.copy()
         a, b = np.nonzero(np.triu(near))
-        leaf, own = rows["leaf"].iloc[0], [set(v) for v in rows["leaves"]]
-        for i, j in zip(a.tolist(), b.tolist()):
-            if min(own[i] & own[j]) != leaf:
-                counted[i, j] = counted[j, i] = False
+        elsewhere = shares_lower(rows["leaves"].to_list(), rows["leaf"].iloc[0], a, b)
+        counted[a[elsewhere], b[elsewhere]] = counted[b[elsewhere], a[elsewhere]] = False
         links = counted @ copies
         first = grouped(near)
         used = np.flatnonzero(near.any(axis=1))

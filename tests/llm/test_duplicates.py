@@ -211,3 +211,37 @@ def test_vectors_without_a_number(spark):
     made = [(None, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (3, [1.0, 0.0], 0)]
     got = rp_forest.near_duplicates(spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label int")).collect()
     assert sorted(map(tuple, got), key=repr) == [(3, 2, 3, True), (3, 2, 3, True), (None, 0, None, True), (None, 2, None, True)]
+
+
+def test_lower_leaves_that_pairs_share():
+    random = np.random.default_rng(5)
+    leaves = [random.choice(40, int(random.integers(0, 9)), replace=False).astype(np.int64) - 20 for _ in range(60)]
+    a, b = np.nonzero(np.triu(np.ones((60, 60), bool), 1))
+    for leaf in (-30, 0, 7, 100):
+        expected = [any(x < leaf for x in set(leaves[i].tolist()) & set(leaves[j].tolist())) for i, j in zip(a.tolist(), b.tolist())]
+        assert rp_forest.shares_lower(leaves, leaf, a, b).tolist() == expected
+
+
+def test_a_dense_label_is_compared_in_one_tree(spark, monkeypatch):
+    """All vectors of one label are near each other: no tree can split them, and one compares them."""
+    random = np.random.default_rng(6)
+    near = random.normal(size=16) + random.normal(size=(900, 16)) * 0.02
+    spread = random.normal(size=(700, 16))
+    made = [(i, v.tolist(), "a:b/c") for i, v in enumerate(near)] + [(5000 + i, v.tolist(), "x") for i, v in enumerate(spread)]
+    vectors = spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label string")
+    trees, original = [], rp_forest.forest
+
+    def counted(points, *rest):
+        leaves = original(points, *rest)
+        per_point = leaves.groupBy("point").count()
+        trees.append({r["many"]: r["count"] for r in per_point.groupBy((F.col("count") > 1).alias("many")).count().collect()})
+        return leaves
+
+    monkeypatch.setattr(rp_forest, "forest", counted)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_duplicates(vectors).collect()}
+    assert trees[0] == {False: 900, True: 700}
+    for group, first in ((near, 0), (spread, 5000)):
+        unit = rp_forest.unit(group.astype(np.float32))
+        linked = unit @ unit.T >= 0.98
+        np.fill_diagonal(linked, False)
+        assert [got[first + i][0] for i in range(len(group))] == linked.sum(axis=1).tolist()

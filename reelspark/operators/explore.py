@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.functions import stats
+from reelspark.functions import bitmaps, stats
 from reelspark.params import SOURCES
 
 
@@ -16,13 +16,10 @@ def overlap_window(interactions: DataFrame) -> DataFrame:
 
 
 def overview(interactions: DataFrame) -> DataFrame:
-    return interactions.groupBy("source", "split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("item_id").alias("items"),
-        F.min("date").cast("string").alias("first_day"),
-        F.max("date").cast("string").alias("last_day"),
-    )
+    ids = {"users": F.col("user_id"), "items": F.col("item_id")}
+    out = bitmaps.totals(interactions, ["source", "split"], ids, {"rows": F.lit(1).cast("bigint")}, F.col("date"))
+    days = [F.col(n).cast("string").alias(f"{n}_day") for n in ("first", "last")]
+    return out.select("source", "split", "rows", "users", "items", *days)
 
 
 def feedback_rates(interactions: DataFrame) -> DataFrame:
@@ -122,11 +119,14 @@ def sparsity(interactions: DataFrame) -> DataFrame:
             F.percentile("n", F.lit(0.9), F.col("m")).alias("p90_impr_per_user"),
         )
     )
-    pairs = interactions.groupBy("source", "user_id", "item_id").agg(F.lit(1).alias("_one"))
-    users, items = F.count_distinct("user_id"), F.count_distinct("item_id")
-    density = pairs.groupBy("source").agg(
-        (F.count(F.lit(1)) / F.nullif(users.cast("double") * items.cast("double"), F.lit(0.0))).alias("density")
-    )
+    # A user's items of one source as words of bits: fewer rows than pairs, and the same row gives the source's items.
+    seen = interactions.select("source", "user_id", bitmaps.word(F.col("item_id")).alias("word"), bitmaps.bit(F.col("item_id")).alias("bit"))
+    seen = seen.groupBy("source", "user_id", "word").agg(F.bit_or("bit").alias("bits"))
+    pairs = seen.groupBy("source").agg(F.sum(F.when(F.col("bits").isNull(), 1).otherwise(F.bit_count("bits"))).alias("pairs"))
+    one = {"rows": F.lit(1).cast("bigint")}
+    sides = bitmaps.totals(interactions, ["source"], {"users": F.col("user_id"), "items": F.col("item_id")}, one)
+    cells = F.nullif(F.col("users").cast("double") * F.col("items").cast("double"), F.lit(0.0))
+    density = pairs.join(sides, "source").select("source", (F.col("pairs") / cells).alias("density"))
     return density.join(per_user, "source")
 
 

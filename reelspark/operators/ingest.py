@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.functions import bitmaps
 from reelspark.functions.expressions import parse_day, split_label
 from reelspark.operators import contracts
+from reelspark.session import materialize
 from reelspark.sources.logs import ITEM_COLUMNS, LOG_COLUMNS, USER_COLUMNS
 
 LABEL_COLUMNS = (
@@ -74,24 +76,31 @@ def latest_event(interactions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def manifest(interactions: DataFrame, items: DataFrame, leaky_columns=()) -> DataFrame:
-    """Ingest manifest as long rows `(entry, value)`, all values as text."""
-    counts = interactions.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
+    """Ingest manifest as long rows `(entry, value)`, all values as text.
+
+    One pass over the log makes id words and partial totals; all entries come from these.
+    """
+    one = F.lit(1).cast("bigint")
+    parts = bitmaps.words(interactions, ["source", "split"], [F.col("user_id"), F.col("item_id")], {"n": one}, F.col("date"))
+    parts = materialize(parts, "manifest-words")
+    counts = parts.filter("kind = 0").groupBy("source", "split").agg(F.sum("n").alias("n"))
     counts = counts.select(
         F.concat(F.lit("rows/"), "source", F.lit("/"), "split").alias("entry"), F.col("n").cast("string").alias("value")
     )
-    totals = interactions.agg(
-        F.count_distinct("user_id").cast("string").alias("n_users"),
-        F.count_distinct("item_id").cast("string").alias("n_items_logged"),
-        F.min("date").cast("string").alias("first_day"),
-        F.max("date").cast("string").alias("last_day"),
-    )
-    totals = totals.unpivot([], ["n_users", "n_items_logged", "first_day", "last_day"], "entry", "value")
-    catalog = items.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+    merged = parts.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"))
+    names = ["n_users", "n_items_logged", "first_day", "last_day"]
+    values = [bitmaps.counted(0), bitmaps.counted(1), F.min("first"), F.max("last")]
+    entries = [F.struct(F.lit(n).alias("entry"), F.col(n).alias("value")) for n in names]
+    totals = merged.agg(*[v.cast("string").alias(n) for v, n in zip(values, names)]).select(F.inline(F.array(*entries)))
+    known = bitmaps.words(items, [], [F.col("item_id")], {"n": one}).select("word", F.col("bits").alias("known"), F.col("n").alias("rows"))
+    known = materialize(known, "item-words")
+    catalog = known.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("string").alias("value")).select(
         F.lit("n_items_catalog").alias("entry"), "value"
     )
-    missing = contracts.items_without_features(interactions, items).select(
-        F.lit("logged_items_missing_features").alias("entry"),
-        F.col("logged_items_missing_features").cast("string").alias("value"),
+    logged = merged.filter("kind = 1").join(known, "word", "left")
+    lacking = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint")))))
+    missing = logged.agg(F.coalesce(F.sum(lacking), F.lit(0)).cast("string").alias("value")).select(
+        F.lit("logged_items_missing_features").alias("entry"), "value"
     )
     dropped = ",".join(sorted(set(leaky_columns) & set(ITEM_COLUMNS)))
     spark = interactions.sparkSession

@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.functions import stats
+from reelspark.functions import bitmaps, stats
 from reelspark.functions.expressions import (
     UNKNOWN,
     age_label,
@@ -131,18 +131,20 @@ def daily(base: DataFrame, portable: bool = False) -> DataFrame:
     """
 
     def fingerprint(columns) -> Column:
-        return F.sum(_row_hash(columns, portable).cast("decimal(20,0)")).cast("string")
-
-    return base.groupBy("day", "source", "in_pool").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("video_id").alias("items"),
-        F.sum("is_click").cast("bigint").alias("clicks"),
-        F.sum("long_view").cast("bigint").alias("long_views"),
-        F.sum("is_like").cast("bigint").alias("likes"),
-        fingerprint(ROW_FINGERPRINT).alias("fp_rows"),
-        fingerprint(ID_FINGERPRINT).alias("fp_ids"),
-    )
+        return _row_hash(columns, portable).cast("decimal(20,0)")
+
+    sums = {
+        "rows": F.lit(1).cast("bigint"),
+        "clicks": F.col("is_click").cast("bigint"),
+        "long_views": F.col("long_view").cast("bigint"),
+        "likes": F.col("is_like").cast("bigint"),
+        "fp_rows": fingerprint(ROW_FINGERPRINT),
+        "fp_ids": fingerprint(ID_FINGERPRINT),
+    }
+    ids = {"users": F.col("user_id"), "items": F.col("video_id")}
+    out = bitmaps.totals(base, ["day", "source", "in_pool"], ids, sums)
+    texts = [F.col(n).cast("string").alias(n) for n in ("fp_rows", "fp_ids")]
+    return out.select("day", "source", "in_pool", "rows", "users", "items", "clicks", "long_views", "likes", *texts)
 
 
 def tabs(base: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import DURATION_EDGES_S
 from reelspark.operators import tower_inputs as ti
-from reelspark.operators import vector_index, vector_search
+from reelspark.operators import tower_math as tm
+from reelspark.operators import two_tower, vector_index, vector_search
 from reelspark.operators.two_tower import TwoTowerRetriever
 from reelspark.params import TwoTowerParams
 from reelspark.registry.common import query, view
@@ -333,3 +335,178 @@ def approximate_recall(spark, d):
     both = vector_search.exact_top_k(users, items, K, own, SEED).join(found, ["user_id", "item_id"], "left")
     counts = both.agg(F.count(F.lit(1)).alias("asked_pairs"), F.count("near").alias("n"), F.count_if(F.col("near") != F.col("score")).alias("wrong_scores"))
     return counts.select("asked_pairs", (F.col("n") >= 0.9 * F.col("asked_pairs")).alias("nine_tenths_found"), "wrong_scores")
+
+
+# --- towers by value ----------------------------------------------------------------
+# The whole way from tables to vectors, with embeddings and weights that both engines know by a formula.
+
+PLANTED = TwoTowerParams(
+    max_history=HISTORY, max_tags=MAX_TAGS, min_count=MIN_COUNT, id_min_count=ID_MIN_COUNT, field_dim=2, user_field_dim=2, hidden=4, dim=3
+)
+#: Phase of the weights of each layer.
+PHASES = {"item_w1": 0.1, "item_w2": 0.2, "user_w1": 0.3, "user_w2": 0.4}
+
+
+def _planted_weights(shapes):
+    """cos(0.7 i + 1.3 j + phase) over the square root of the inputs, i and j from 1; biases sin(j) / 10."""
+    out = {}
+    for name, shape in shapes.items():
+        j = np.arange(1, shape[-1] + 1)
+        if name in PHASES:
+            i = np.arange(1, shape[0] + 1)[:, None]
+            out[name] = np.cos(0.7 * i + 1.3 * j + PHASES[name]) / np.sqrt(shape[0])
+        else:
+            out[name] = np.sin(j) / 10
+    return out
+
+
+def _planted_table(spark, tab: int, rows: int, dim: int):
+    """Row r has sin(r d) at place d; moments, which no vector depends on, are zero."""
+    values = [F.sin(F.col("id") * F.lit(d)) for d in range(1, dim + 1)] + [F.lit(0.0)] * (2 * dim)
+    return spark.range(1, rows).select(F.lit(tab).alias("tab"), "id", F.array(*values).alias("vec"))
+
+
+def _planted(spark, d):
+    s = Setting(spark, d)
+    s.fit, s.eval = materialize(s.fit, "fit"), materialize(s.eval, "eval")
+    s.catalog = materialize(s.catalog, "catalog")
+    model = TwoTowerRetriever(s.items, fixtures.users(spark, d), PLANTED, SEED)
+    model.prepare(s.fit, s.catalog, AS_OF)
+    model.weights = _planted_weights(tm.tower_shapes(len(model.single) + 1, len(model.user_sizes), PLANTED))
+    content = _planted_table(spark, two_tower.CONTENT_ROW, tm.table_rows(model.item_sizes), PLANTED.field_dim)
+    profile = _planted_table(spark, two_tower.PROFILE_ROW, tm.table_rows(model.user_sizes), PLANTED.user_field_dim)
+    model.tables = materialize(content.unionByName(profile), "tables")
+    return s, model
+
+
+def _shown(vectors, key):
+    return vectors.select(key, *[F.round(F.col("vector")[i], 6).alias(f"v{i + 1}") for i in range(PLANTED.dim)])
+
+
+def _tower_sql(source: str, key: str, side: str) -> str:
+    """Unit vectors from `source`, whose x is a tower's input."""
+
+    def layer(x: str, name: str, n_out: int, inner: str) -> str:
+        weight = f"cos(0.7::double * i + 1.3::double * j + {PHASES[name]}::double) / sqrt(len({x})::double)"
+        return f"[{inner.format(f'list_sum([{x}[i] * {weight} FOR i IN range(1, len({x}) + 1)]) + sin(j::double) / 10')} FOR j IN range(1, {n_out + 1})]"
+
+    return f"""
+    SELECT {key}, {", ".join(f"round(y[{i}] / norm, 6) AS v{i}" for i in range(1, PLANTED.dim + 1))}
+    FROM (SELECT {key}, y, greatest(sqrt(list_sum([v * v FOR v IN y])), 1e-12) AS norm
+          FROM (SELECT {key}, {layer("h", f"{side}_w2", PLANTED.dim, "{}")} AS y
+                FROM (SELECT {key}, {layer("x", f"{side}_w1", PLANTED.hidden, "greatest({}, 0.0)")} AS h FROM {source})))
+    """
+
+
+_DIMS = range(1, PLANTED.field_dim + 1)
+view(
+    "p_starts",
+    f"""
+    SELECT field, 1 + coalesce(sum(n) OVER (ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
+    FROM (SELECT field, count(*) AS n FROM t_vocab GROUP BY field UNION ALL SELECT 'duration', {ti.DURATION_SIZE - 1})
+    """,
+    "t_vocab",
+)
+
+
+def _row_sql(field: str) -> str:
+    if field == "duration":
+        return f"max(CASE WHEN i.video_duration IS NULL THEN 0 ELSE (SELECT start FROM p_starts WHERE field = 'duration') + {_BUCKET} END)"
+    return f"coalesce(max(c.row) FILTER (c.field = '{field}'), 0)"
+
+
+view(
+    "p_item_rows",
+    f"""
+    SELECT k.item_id, {", ".join(f"{_row_sql(f)} AS r_{f}" for f in _SINGLE)},
+           coalesce(list(c.row ORDER BY c.slot) FILTER (c.field = 'tag'), []) AS tags
+    FROM m_catalog k LEFT JOIN m_items i USING (item_id)
+    LEFT JOIN (SELECT v.item_id, v.field, v.slot, s.start + t.idx - 1 AS row
+               FROM t_values v JOIN t_vocab t USING (field, value) JOIN p_starts s USING (field)) c ON c.item_id = k.item_id
+    GROUP BY k.item_id
+    """,
+    "m_catalog",
+    "m_items",
+    "t_values",
+    "p_starts",
+)
+view(
+    "p_item_inputs",
+    "SELECT item_id, ["
+    + ", ".join(f"CASE WHEN r_{f} = 0 THEN 0.0 ELSE sin((r_{f} * {d})::double) END" for f in _SINGLE for d in _DIMS)
+    + ", "
+    + ", ".join(f"coalesce(list_avg([sin((t * {d})::double) FOR t IN tags]), 0.0)" for d in _DIMS)
+    + "] AS x FROM p_item_rows",
+    "p_item_rows",
+)
+view(
+    "p_profiles",
+    f"""
+    SELECT u.user_id, {", ".join(f"coalesce(max(v.row) FILTER (v.field = '{f}'), 0) AS q_{f}" for f in sorted(ti.USER_FIELDS))}
+    FROM (SELECT user_id, {", ".join(f"cast({f} AS varchar) AS {f}" for f in ti.USER_FIELDS)} FROM fx_users) u
+    LEFT JOIN (SELECT field, value, idx + coalesce((SELECT count(*) FROM t_users_vocab b WHERE b.field < a.field), 0) AS row
+               FROM t_users_vocab a) v
+      ON ({" OR ".join(f"(v.field = '{f}' AND v.value = u.{f})" for f in ti.USER_FIELDS)})
+    GROUP BY u.user_id
+    """,
+    "fx_users",
+    "t_users_vocab",
+)
+view(
+    "p_user_inputs",
+    f"""
+    SELECT h.user_id, list_concat([{", ".join(f"h.m_{f}_{d}" for f in _SINGLE for d in _DIMS)}, {", ".join(f"h.t_{d}" for d in _DIMS)}], [
+               {", ".join(f"CASE WHEN coalesce(p.q_{f}, 0) = 0 THEN 0.0 ELSE sin((p.q_{f} * {d})::double) END" for f in sorted(ti.USER_FIELDS) for d in _DIMS)}]) AS x
+    FROM (SELECT u.user_id,
+                 {", ".join(f"coalesce(avg(sin((r_{f} * {d})::double)) FILTER (r_{f} > 0), 0.0) AS m_{f}_{d}" for f in _SINGLE for d in _DIMS)},
+                 {", ".join(f"coalesce(sum(list_sum([sin((t * {d})::double) FOR t IN tags])) / nullif(sum(len(tags)), 0), 0.0) AS t_{d}" for d in _DIMS)}
+          FROM (SELECT DISTINCT user_id FROM m_eval) u
+          LEFT JOIN (SELECT user_id, item_id FROM t_positive
+                     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, time_ms DESC, item_id DESC) <= {HISTORY}) l
+            ON l.user_id = u.user_id
+          LEFT JOIN p_item_rows r ON r.item_id = l.item_id GROUP BY u.user_id) h
+    LEFT JOIN p_profiles p ON p.user_id = h.user_id
+    """,
+    "p_item_rows",
+    "p_profiles",
+    "t_positive",
+    "m_eval",
+)
+
+
+@query("f9_f13_item_vector_values", _tower_sql("p_item_inputs", "item_id", "item"), ("p_item_inputs",))
+def item_vector_values(spark, d):
+    """Item vectors by value: vocabulary, encoding, table rows, tag means and the item tower."""
+    s, model = _planted(spark, d)
+    return _shown(model.embed_items(s.catalog), "item_id")
+
+
+@query("f10_f16_user_vector_values", _tower_sql("p_user_inputs", "user_id", "user"), ("p_user_inputs",))
+def user_vector_values(spark, d):
+    """User vectors by value: histories, their means, profiles and the user tower."""
+    s, model = _planted(spark, d)
+    return _shown(model.embed_users(s.eval), "user_id")
+
+
+view("p_item_vectors", _tower_sql("p_item_inputs", "item_id", "item"), "p_item_inputs")
+view("p_user_vectors", _tower_sql("p_user_inputs", "user_id", "user"), "p_user_inputs")
+
+
+@query(
+    "f14_planted_tower_lists",
+    f"""
+    SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id
+               ORDER BY u.v1 * i.v1 + u.v2 * i.v2 + u.v3 * i.v3 DESC, md5('{SEED}:' || cast(item_id AS varchar)), item_id) AS rank
+    FROM m_open JOIN p_user_vectors u USING (user_id) JOIN p_item_vectors i USING (item_id) QUALIFY rank <= {K}
+    """,
+    ("m_open", "p_user_vectors", "p_item_vectors"),
+)
+def planted_tower_lists(spark, d):
+    """Lists of the towers with known weights, on vectors cut to six decimals, so that both engines rank the same numbers."""
+    s, model = _planted(spark, d)
+    targets, exclusions = s.targets()
+    cut = F.transform("vector", lambda x: F.round(x, 6)).alias("vector")
+    asked = targets.select("user_id").distinct()
+    users = materialize(model.embed_users(s.eval).join(asked, "user_id", "left_semi").select("user_id", cut), "user-vectors")
+    items = materialize(model.embed_items(s.catalog).join(s.available, "item_id", "left_semi").select("item_id", cut), "item-vectors")
+    return vector_search.exact_top_k(users, items, K, exclusions, SEED).drop("score")

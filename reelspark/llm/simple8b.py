@@ -43,7 +43,7 @@ _LIMITS = np.array([1 << b for _, b in SELECTORS], np.uint64)
 _SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 _COUNTS = np.array([c for c, _ in SELECTORS] + [1], np.int32)
 #: The walk over words goes by jumps of two to so many words.
-_DOUBLINGS = 4
+_DOUBLINGS = 5
 
 
 def _choices(ids: np.ndarray) -> np.ndarray:
@@ -75,10 +75,10 @@ def _starts(step: np.ndarray) -> np.ndarray:
     jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + step, n), np.int32(n))]
     for _ in range(_DOUBLINGS):
         jumps.append(jumps[-1][jumps[-1]])
-    far, at, some = jumps.pop().tolist(), 0, []
+    far, at, some = jumps.pop(), 0, []
     while at < n:
         some.append(at)
-        at = far[at]
+        at = int(far[at])
     starts = np.array(some, np.int64)
     for jump in reversed(jumps):
         starts = np.stack([starts, jump[starts]], axis=1).reshape(-1)

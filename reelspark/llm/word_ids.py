@@ -26,6 +26,8 @@ MAX_CHUNKS = 250_000
 MAX_CHUNK_CHARS = 128
 #: Documents are handled together up to so many characters; longer ones in pieces of this size, cut at white space.
 BLOCK_CHARS = 4 << 20
+#: The same for ids, which gain by more words to a dictionary.
+ID_BLOCK_CHARS = 8 << 20
 
 _WHITE = re.compile("[ \\t\\n\\r\\x0b\\x0c]")
 # Chunks of letters, digits and signs whose runs this module can tell by itself: no
@@ -90,7 +92,7 @@ class Codes:
 
     def __init__(self, learn, limit: int | None = None, most: int = 2) -> None:
         self.numbers: dict[str, int] = {}
-        self.met = bytearray(1 << 21)
+        self.met = np.zeros(1 << 21, bool)
         self.learn, self.limit, self.most, self.next = learn, limit or MAX_CHUNKS, most, 0
 
     @property
@@ -106,13 +108,12 @@ class Codes:
             self.learn(new)
             found[missing] = given = np.arange(self.next, self.next + len(new))
             self.next += len(new)
-            met, mask = self.met, len(self.met) - 1
-            for word, number in zip(new, given.tolist()):
-                at = hash(word) & mask
-                if not met[at]:
-                    met[at] = 1
-                elif len(self.numbers) < self.limit and len(word) <= MAX_CHUNK_CHARS:
-                    self.numbers[word] = number
+            at = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.met) - 1)
+            again = np.flatnonzero(self.met[at])
+            self.met[at] = True
+            for i in again[: max(0, self.limit - len(self.numbers))].tolist():
+                if len(new[i]) <= MAX_CHUNK_CHARS:
+                    self.numbers[new[i]] = int(given[i])
         return found
 
     def compact(self) -> np.ndarray:
@@ -189,8 +190,12 @@ class WordTokenizer:
             new = [runs[i] for i in missing.tolist()]
             rows[missing] = given = np.arange(self.run_ids.rows, self.run_ids.rows + len(new))
             spelled = [r if r.isascii() else r.encode().decode("latin-1").translate(_BYTE_CHARS) for r in new]
-            tokenize = self.library.model.tokenize
-            self.run_ids.append([array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled])
+            tokenize, flat, lengths = self.library.model.tokenize, array("I"), []
+            for s in spelled:
+                ids = [t.id for t in tokenize(s)]
+                flat.extend(ids)
+                lengths.append(len(ids))
+            self.run_ids.extend(np.frombuffer(flat, np.uint32), np.array(lengths, np.int64))
             self.runs.update(zip(new, given.tolist()))
         return rows
 
@@ -227,7 +232,7 @@ class WordTokenizer:
         """uint32 ids of each text (null: empty), in order, with `end_id` behind them."""
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         begun: list[np.ndarray] = []
-        for group, more in groups(texts):
+        for group, more in groups(texts, ID_BLOCK_CHARS):
             if self.codes.full:
                 self.ids.keep(self.codes.compact())
             words, which, last = chunks(group)

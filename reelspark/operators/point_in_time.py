@@ -171,7 +171,11 @@ def view_features(
     events: DataFrame, examples: DataFrame, view: FeatureView, rates: DataFrame, params: FeatureParams
 ) -> DataFrame:
     """One view's features per requested (entity, day), named `<view>_<metric>_<all|Nd>`."""
-    totals = snapshot_totals(events, examples, view.keys, params.windows)
+    return view_columns(snapshot_totals(events, examples, view.keys, params.windows), view, rates, params)
+
+
+def view_columns(totals: DataFrame, view: FeatureView, rates: DataFrame, params: FeatureParams) -> DataFrame:
+    """A view's features from its totals, whichever way these were found."""
     # one row per calendar day, so the broadcast does not grow with the log
     joined = totals.join(F.broadcast(rates), "date")
     prior, prefix = F.lit(float(params.prior_strength)), view.name

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reelspark.functions.expressions import day_number
 from reelspark.operators import point_in_time as pit
 from reelspark.operators.asof import asof_join
+from reelspark.operators.day_blocks import DayBlocks
 from reelspark.params import FeatureParams
 from reelspark.registry.common import query, view
 from reelspark.session import materialize, scratch_path
@@ -370,3 +372,31 @@ def asof_rows(spark, d):
 def asof_rows_inclusive(spark, d):
     """The same, with clicks of the same instant."""
     return _liked_before(spark, d, True)
+
+
+#: Days appended one by one; those before are built together.
+NEW_DAYS = 3
+
+
+def _incremental_view(spark, d, name):
+    """A view from stored blocks of days: all but the last days at once, these appended one after the other."""
+    large, items, _, asked = _inputs(spark, d)
+    feature_view = next(v for v in pit.VIEWS if v.name == name)
+    events = materialize(pit.view_events(large, items, feature_view), "view-events")
+    low, high = events.agg(F.min(day_number(F.col("date"))), F.max(day_number(F.col("date")))).first()
+    blocks = DayBlocks(spark, scratch_path(spark, "day-blocks"), feature_view.keys)
+    blocks.append(events, low, high - NEW_DAYS)
+    for day in range(high - NEW_DAYS + 1, high + 1):
+        blocks.append(events.filter(day_number(F.col("date")) == day), day)
+    rates = pit.global_rates(pit.view_events(large, items, None), asked)
+    return _rounded(pit.view_columns(blocks.snapshot_totals(asked, PARAMS.windows), feature_view, rates, PARAMS))
+
+
+@query("d14_incremental_view_item", "SELECT * FROM f_item", ("f_item",))
+def incremental_view_item(spark, d):
+    return _incremental_view(spark, d, "item")
+
+
+@query("d14_incremental_view_ua", "SELECT * FROM f_ua", ("f_ua",))
+def incremental_view_ua(spark, d):
+    return _incremental_view(spark, d, "ua")

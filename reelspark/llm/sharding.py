@@ -10,6 +10,7 @@ shard one lookup: the table has a fixed size, is broadcast, and no row is shuffl
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,18 +60,22 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: dict[str, int], slots: int, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
-    """`df` with its slot and shard, every row as it is; `names` must be new.
+    """`df` with its slot and shard, every row as it is; columns of these `names` that it had give way to them.
 
     Rows with the same key, repeated rows among them, share a shard; null keys share the
     shard of the empty text. An empty table stays empty. Rows stay where they are: a hot key
     is no hot task here.
     """
-    looked_up = F.broadcast(table(df.sparkSession, shards, slots).select(F.col("slot").alias(names[0]), F.col("shard").alias(names[1])))
-    return df.withColumn(names[0], slot_of(F.col(key), slots)).join(looked_up, names[0], "left").select(*df.columns, *names)
+    slot, shard = (f"placed_{uuid.uuid4().hex[:8]}_{x}" for x in ("slot", "shard"))
+    looked_up = F.broadcast(table(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard)))
+    joined = df.withColumn(slot, slot_of(F.col(key), slots)).join(looked_up, slot, "left")
+    kept = [c for c in df.columns if c not in names]
+    return joined.select(*kept, F.col(slot).alias(names[0]), F.col(shard).alias(names[1]))
 
 
 def write(df: DataFrame, key: str, shards: dict[str, int], slots: int, path: str, files_per_shard: int = 8) -> None:
-    """Every shard in a folder of its own under `path`, in `files_per_shard` files dealt by a second part of the hash."""
-    placed = place(df, key, shards, slots, ("slot", "shard"))
-    file = F.pmod(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", file).drop("slot").write.partitionBy("shard").parquet(path)
+    """Every shard in a folder of its own under `path`, in `files_per_shard` files dealt by another hash; a column `shard` gives way to it."""
+    file, at = (f"placed_{uuid.uuid4().hex[:8]}_{x}" for x in ("file", "slot"))
+    dealt = F.pmod(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(files_per_shard))
+    placed = place(df.withColumn(file, dealt), key, shards, slots, (at, "shard"))
+    placed.repartition(len(shards) * files_per_shard, "shard", file).drop(at, file).write.partitionBy("shard").parquet(path)

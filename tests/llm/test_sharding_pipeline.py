@@ -46,6 +46,13 @@ def test_placing(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(rows()) and set(r.shard for r in back.select("shard").distinct().collect()) == set(shards)
     assert sharding.place(frame(spark, []), "doc_id", shards, 1009, ("at", "where")).count() == 0
+    # Columns of the same names give way, one that is the key among them.
+    clash = sharding.place(docs, "doc_id", shards, 1009)
+    assert clash.columns == [c for c in docs.columns if c not in ("slot", "shard")] + ["slot", "shard"]
+    assert sorted(map(repr, clash.select("doc_id", "shard").collect())) == sorted(repr(r).replace("where=", "shard=") for r in placed.select("doc_id", "where").collect())
+    assert sharding.place(docs, "shard", shards, 1009).select("shard").distinct().count() == 1
+    sharding.write(docs, "doc_id", shards, 1009, str(tmp_path / "clash"), 2)
+    assert spark.read.parquet(str(tmp_path / "clash")).count() == len(rows())
 
 
 def plain_pipeline(spark, docs, labels):

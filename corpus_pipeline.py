@@ -36,7 +36,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A trained classifier is not for SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+#: A trained classifier is not for SQL; tests/llm/test_sharding_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 

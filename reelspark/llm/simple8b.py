@@ -168,7 +168,7 @@ def _frames(tokenizer: str, end_id: int):
 
         for batch in batches:
             keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            for key, row in zip(keys, words.documents(batch["text"], end_id)):
+            for key, row in zip(keys, words.documents(batch["text"], end_id, word_ids.WIDE_BLOCK_CHARS)):
                 docs.append(key)
                 ids.append(row)
                 held += len(row)

@@ -26,8 +26,8 @@ MAX_CHUNKS = 250_000
 MAX_CHUNK_CHARS = 128
 #: Documents are handled together up to so many characters; longer ones in pieces of this size, cut at white space.
 BLOCK_CHARS = 4 << 20
-#: The same for ids, which gain by more words to a dictionary.
-ID_BLOCK_CHARS = 8 << 20
+#: For operators that hold nothing else: more words to a dictionary save time, and take memory.
+WIDE_BLOCK_CHARS = 8 << 20
 
 _WHITE = re.compile("[ \\t\\n\\r\\x0b\\x0c]")
 # Chunks of letters, digits and signs whose runs this module can tell by itself: no
@@ -228,11 +228,11 @@ class WordTokenizer:
         at = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
         self.ids.extend(np.concatenate(parts)[at], lengths)
 
-    def documents(self, texts: Iterable[str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
+    def documents(self, texts: Iterable[str | None], end_id: int | None = None, block: int = BLOCK_CHARS) -> Iterator[np.ndarray]:
         """uint32 ids of each text (null: empty), in order, with `end_id` behind them."""
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         begun: list[np.ndarray] = []
-        for group, more in groups(texts, ID_BLOCK_CHARS):
+        for group, more in groups(texts, block):
             if self.codes.full:
                 self.ids.keep(self.codes.compact())
             words, which, last = chunks(group)

@@ -11,6 +11,7 @@ from reelspark.operators import cooccurrence as cooc
 from reelspark.operators.baselines import build_baselines
 from reelspark.operators.cooccurrence import ItemCooccurrence
 from reelspark.operators.popularity import MostPopular
+from reelspark.operators.pruned_neighbors import pruned_neighbors
 from reelspark.operators.random_ranker import RandomRecommender
 from reelspark.operators.recommend import top_k
 from reelspark.params import BaselineParams
@@ -267,6 +268,14 @@ def neighbors(spark, d):
     return cooc_model().fit(s.fit, s.catalog, AS_OF).similarities.select("src_item", "dst_item", "units")
 
 
+@query("e9_pruned_neighbors", "SELECT src_item, dst_item, units FROM m_sim", ("m_sim",))
+def neighbors_by_bounds(spark, d):
+    """The same lists without making the pairs that bounds rule out."""
+    history = materialize(cooc.user_histories(Setting(spark, d).fit, "is_click", HISTORY), "histories")
+    nearest, _ = pruned_neighbors(history, NEIGHBORS, SHRINKAGE)
+    return nearest.select("src_item", "dst_item", F.floor(F.col("sim") * cooc.UNIT).cast("bigint").alias("units"))
+
+
 @query(
     "e10_cooccurrence_pairs",
     """

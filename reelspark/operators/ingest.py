@@ -9,6 +9,7 @@ from reelspark.functions import bitmaps
 from reelspark.functions.expressions import parse_day, split_label
 from reelspark.operators import contracts
 from reelspark.session import materialize
+from reelspark.sources.id_lookup import rows_with_ids
 from reelspark.sources.logs import ITEM_COLUMNS, LOG_COLUMNS, USER_COLUMNS
 
 LABEL_COLUMNS = (
@@ -138,6 +139,6 @@ def sample_users(users: DataFrame, n_users: int, seed) -> DataFrame:
 def derive_user_release(logs: DataFrame, users: DataFrame, items: DataFrame, n_users: int, seed):
     """Sub-release of a user sample: its rows, its users and the items they saw."""
     sample = sample_users(users, n_users, seed)
-    rows = logs.join(sample, "user_id", "left_semi")
+    rows = rows_with_ids(logs, "user_id", sample)
     seen = rows.select("video_id").distinct()
     return rows, users.join(sample, "user_id", "left_semi"), items.join(seen, "video_id", "left_semi")

@@ -10,8 +10,9 @@ from reelspark.functions import expressions as X
 from reelspark.operators import catalog, contracts, ingest, point_in_time, profile
 from reelspark.registry.common import AGE_LABELS, DURATION_LABELS, FLAG_NAMES, label_sql, query
 from reelspark.registry.model_queries import with_unknown_items
-from reelspark.session import scratch_path
+from reelspark.session import materialize, scratch_path
 from reelspark.sources import fixtures, logs, tables
+from reelspark.sources.id_lookup import id_filters, rows_with_ids
 
 ALL_LABELS = ingest.LABEL_COLUMNS
 
@@ -526,3 +527,18 @@ def left_join_events_authors(spark, d):
     known = fixtures.items(spark, d).filter(F.col("author_id") != 3)
     events = point_in_time.feature_events(fixtures.interactions_large(spark, d), known, ("standard", "random"))
     return events.groupBy("author_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "j6_rows_of_ids",
+    """
+    SELECT user_id, item_id, date, time_ms, is_click FROM fx_large WHERE user_id IN
+        (SELECT user_id FROM fx_users ORDER BY md5('7:' || cast(user_id AS varchar)), user_id LIMIT 40)
+    """,
+    ("fx_large", "fx_users"),
+)
+def rows_of_ids(spark, d):
+    """The log of a user sample from a stored table with filters by user."""
+    log = fixtures.interactions_large(spark, d).select("user_id", "item_id", "date", "time_ms", "is_click")
+    stored = materialize(log.sortWithinPartitions("date", "time_ms"), "log", options=id_filters("user_id"))
+    return rows_with_ids(stored, "user_id", ingest.sample_users(fixtures.users(spark, d), 40, 7))

@@ -24,6 +24,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A feature frame has some 130 columns; the default of 100 turns code generation off.
     "spark.sql.codegen.maxFields": "400",
+    # Lists of ids reach the row groups as values; above this Spark pushes their range only.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
 }
 
 # Only a session builder can set this. Recording a call site per column
@@ -67,7 +69,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str = "stage", partition_by: str | None = None, options: dict[str, str] | None = None
+) -> DataFrame:
     """Cut the lineage by writing `df` to the shared folder and reading it back.
 
     A written table survives lost executors, and everything downstream sees one
@@ -75,7 +79,7 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: str | None = N
     """
     path = scratch_path(df.sparkSession, name)
     _WRITTEN.append(path)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**(options or {}))
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._scratch_path = path

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from reelspark.operators.contracts import require_columns
 from reelspark.sources.fixtures import FLAGS
+from reelspark.sources.id_lookup import id_filters
 
 # Column contracts of the raw files.
 LOG_COLUMNS = (
@@ -167,10 +168,11 @@ def write_tables(interactions: DataFrame, users: DataFrame, items: DataFrame, pa
     """Processed tables as parquet; interactions are partitioned for eval-set pruning.
 
     Rows are in event order inside each file, which lets readers skip row groups
-    by date. Readers that need an order state it themselves.
+    by date, and have filters by user and item. Readers that need an order state it themselves.
     """
     ordered = interactions.sortWithinPartitions("source", "split", "date", "time_ms", "user_id", "item_id")
-    ordered.write.mode("overwrite").partitionBy("source", "split").parquet(f"{path}/interactions")
+    by_id = ordered.write.mode("overwrite").options(**id_filters("user_id", "item_id"))
+    by_id.partitionBy("source", "split").parquet(f"{path}/interactions")
     users.write.mode("overwrite").parquet(f"{path}/users")
     items.write.mode("overwrite").parquet(f"{path}/items")
 

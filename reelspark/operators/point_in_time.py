@@ -226,25 +226,10 @@ def _matched(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFra
     return left.join(other, same, "left").drop(*[f"_of_{k}" for k in keys.values()])
 
 
-def historical_features(
-    examples: DataFrame,
-    interactions: DataFrame,
-    items: DataFrame,
-    users: DataFrame,
-    params: FeatureParams | None = None,
-) -> DataFrame:
-    """Examples (user_id, item_id, date, …) with all their features.
-
-    Keeps every input column and row. A null author leaves the author views
-    null; a known author without history gets zeros. Row order is not a
-    DataFrame property: carry a row id where an order matters.
-
-    The log is summed once, to a row per user, item and day; what is asked is
-    reduced once, to distinct keys and days. The views, and the static columns,
-    are put together on those small sides, so the wide rows join three times: by
-    item and day, by user and day, and by user, author and day.
-    """
-    params = params or FeatureParams()
+def feature_tables(
+    examples: DataFrame, interactions: DataFrame, items: DataFrame, users: DataFrame, params: FeatureParams
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What examples are joined with: by item and day, by user and day, by user, author and day."""
     keys = ("user_id", "item_id", "author_id", "date")
     authors = items.select("item_id", "author_id")
     logged = interactions.filter(F.col("source").isin(*params.sources))
@@ -266,10 +251,31 @@ def historical_features(
     per_day = per_day.withColumn("item_age_days", age).drop("_upload_dt")
     of_user = asked.select("user_id", "date").distinct().join(views["user"], ["user_id", "date"], "left")
     of_user = of_user.join(static_user_columns(users, params.leaky_columns), "user_id", "left")
+    return per_day, of_user, views["ua"].withColumnRenamed("author_id", "item_author_id")
+
 
+def historical_features(
+    examples: DataFrame,
+    interactions: DataFrame,
+    items: DataFrame,
+    users: DataFrame,
+    params: FeatureParams | None = None,
+) -> DataFrame:
+    """Examples (user_id, item_id, date, …) with all their features.
+
+    Keeps every input column and row. A null author leaves the author views
+    null; a known author without history gets zeros. Row order is not a
+    DataFrame property: carry a row id where an order matters.
+
+    The log is summed once, to a row per user, item and day; what is asked is
+    reduced once, to distinct keys and days. The views, and the static columns,
+    are put together on those small sides, so the wide rows join three times: by
+    item and day, by user and day, and by user, author and day.
+    """
+    params = params or FeatureParams()
+    per_day, of_user, pairs = feature_tables(examples, interactions, items, users, params)
     out = _matched(examples, per_day, {"item_id": "item_id", "date": "date"})
     out = _matched(out, of_user, {"user_id": "user_id", "date": "date"})
-    pairs = views["ua"].withColumnRenamed("author_id", "item_author_id")
     out = out.join(pairs, ["user_id", "item_author_id", "date"], "left")
     check_leakage(out, params.leaky_columns)
     passed = examples.columns

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.expressions import day_number
+from reelspark.operators import feature_cells
 from reelspark.operators import point_in_time as pit
 from reelspark.operators.asof import asof_join
 from reelspark.operators.day_blocks import DayBlocks
@@ -284,11 +285,15 @@ def assembly_nulls(spark, d):
     )
 
 
-def _features(spark, d):
+def _feature_inputs(spark, d):
     large, items, _, _ = _inputs(spark, d)
     large = materialize(large, "interactions")  # the processed table, as a user would have it
     examples = large.select("user_id", "item_id", "date", "time_ms", "tab", "is_click")
-    return pit.historical_features(examples, large, items, fixtures.users(spark, d), PARAMS)
+    return examples, large, items, fixtures.users(spark, d)
+
+
+def _features(spark, d):
+    return pit.historical_features(*_feature_inputs(spark, d), PARAMS)
 
 
 @query(
@@ -301,6 +306,19 @@ def historical_features(spark, d):
     return _rounded(_features(spark, d))
 
 
+@query(
+    "d15_features_by_cell",
+    f"SELECT {_ROW}, {_STATIC_SQL}, {_all_columns()} FROM f_asked q LEFT JOIN f_items i ON i.item_id = q.item_id "
+    f"LEFT JOIN fx_users u ON u.user_id = q.user_id {_view_joins()}",
+    _EVERYTHING,
+)
+def features_by_cell(spark, d):
+    """The same features shipped to examples stored in buckets, written and read back."""
+    path = scratch_path(spark, "features")
+    feature_cells.write_features_by_cell(*_feature_inputs(spark, d), path, PARAMS)
+    return _rounded(spark.read.parquet(path))
+
+
 @query(
     "a6_write_features",
     """

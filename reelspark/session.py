@@ -86,6 +86,24 @@ def materialize(
     return stored
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write `df` to the shared folder in buckets of `column`, one file each, and read it back.
+
+    Buckets need an entry in the session's catalog; it is dropped once the frame knows them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    _WRITTEN.append(path)
+    table = f"reelspark_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path)
+    writer.format("parquet").saveAsTable(table)
+    stored = spark.table(table)
+    stored._scratch_path = path
+    stored.schema  # resolves the table before its entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return stored
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -130,3 +130,33 @@ def test_wide_rows_are_shuffled_three_times_at_most(spark, events, items, users)
     assert plan.count("SortMergeJoin") <= 3 + 2 + 3 and len(wide) <= 3
     log = events._scratch_path.rsplit("/", 1)[-1]
     assert plan.count("InMemoryTableScan") == 0 and plan.count(log) <= 1  # as the examples; the log was summed before
+
+
+def exchanged(frame):
+    """Column names of each exchange of a plan."""
+    adaptive = frame._jdf.queryExecution().executedPlan()
+    found, open_nodes = [], [adaptive.initialPlan() if adaptive.nodeName().startswith("AdaptiveSparkPlan") else adaptive]
+    while open_nodes:
+        node = open_nodes.pop()
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        open_nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_totals_travel_instead_of_features(spark, events, items, users):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exchanged(pit.historical_features(examples(events), events, items, users))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found and not any("_ctr_" in c or c.startswith("author_impr") for names in found for c in names)
+    # after the window the item's totals move once
+    assert sum("_item_impr_all" in names and "is_click" not in names for names in found) == 1
+
+
+def test_many_authors_join_before_the_rows_do(spark, baseline, events, items, users, monkeypatch):
+    asked, got = baseline
+    monkeypatch.setattr(pit, "AUTHOR_DAYS", 0)
+    assert feature_rows(spark, event_rows(), asked, items, users) == got

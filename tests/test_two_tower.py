@@ -217,6 +217,39 @@ def test_bounds_rule_out_leaves_of_clustered_vectors(spark, monkeypatch):
     assert kept[0][0] < 0.5 * kept[0][1]
 
 
+def test_unit_vectors_without_clusters_leave_few_leaves_open(spark, monkeypatch):
+    """Near the top scores of vectors of equal length the gap between two balls rules out far more than their products."""
+    monkeypatch.setattr(vector_search, "ITEM_BLOCK", 48)
+    monkeypatch.setattr(vector_search, "USER_BLOCK", 8)
+    kept, original = [], vector_search.surviving
+
+    def counted(chunks, levels):
+        out = original(chunks, levels)
+        kept.append((out.count(), chunks.count() * levels[-1].count()))
+        return out
+
+    monkeypatch.setattr(vector_search, "surviving", counted)
+    both = np.random.default_rng(6).normal(size=(3300, 3))
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    items, users = both[:2500], both[2500:]
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    found = vector_search.exact_top_k(vectors(spark, users, "user_id"), vectors(spark, items, "item_id"), 5, nobody, 3)
+    assert lists_of(found) == full_sort(users, items, [], 5, 3)
+    assert kept[0][0] < 0.2 * kept[0][1], kept
+
+
+def test_scoring_is_dealt_out_by_number(spark, monkeypatch):
+    """Short vectors take few bytes and much time: chunks of one leaf do not meet in one task."""
+    monkeypatch.setattr(vector_search, "USER_BLOCK", 8)
+    seen, original = [], vector_search._score_blocks
+    monkeypatch.setattr(vector_search, "_score_blocks", lambda pairs: seen.append(pairs) or original(pairs))
+    both = np.random.default_rng(7).normal(size=(400, 2))
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    vector_search.exact_top_k(vectors(spark, both, "user_id"), vectors(spark, both, "item_id"), 5, nobody, 3)
+    tasks = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 6 and max(tasks) <= sum(tasks) / 3
+
+
 def test_approximate_lists_reach_their_recall(spark):
     users, items = clustered(np.random.default_rng(5), 900, 70, dim=12, centers=9)
     items[:300] = items[0]

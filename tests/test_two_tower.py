@@ -268,6 +268,32 @@ def test_approximate_lists_reach_their_recall(spark):
     assert found.groupBy("user_id").count().filter("count <> 5").count() == 0
 
 
+def moved_sides(monkeypatch, module):
+    """Rows of each side that `dealt` sends to pairs of groups."""
+    rows, original = [], vector_search.dealt
+
+    def counted(df, pair, tasks):
+        rows.append(df.count())
+        return original(df, pair, tasks)
+
+    monkeypatch.setattr(module, "dealt", counted, raising=False)
+    return rows
+
+
+def test_vectors_without_structure_move_once_a_pair_of_groups(spark, monkeypatch):
+    """Bounds rule nothing out here: chunks x leaves must not be what is shuffled."""
+    monkeypatch.setattr(vector_search, "ITEM_BLOCK", 16)
+    monkeypatch.setattr(vector_search, "USER_BLOCK", 8)
+    rows = moved_sides(monkeypatch, vector_search)
+    both = np.random.default_rng(8).normal(size=(300, 24))
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    found = vector_search.exact_top_k(vectors(spark, both[:80], "user_id"), vectors(spark, both, "item_id"), 5, nobody, 3)
+    assert lists_of(found) == full_sort(both[:80], both, [], 5, 3)
+    chunks, leaves = 80, 300 // 16
+    assert len(rows) == 2 and rows[0] <= chunks * vector_search.LEAST_GROUPS and rows[1] <= 300 * vector_search.LEAST_GROUPS
+    assert rows[0] < chunks * leaves / 2
+
+
 @pytest.fixture(scope="module")
 def fitted(spark, events, items, users):
     """Clicks planted by user and author parity, so there is something to learn."""

@@ -294,6 +294,18 @@ def test_vectors_without_structure_move_once_a_pair_of_groups(spark, monkeypatch
     assert rows[0] < chunks * leaves / 2
 
 
+def test_a_search_of_all_lists_moves_a_user_once_a_group(spark, monkeypatch):
+    rows = moved_sides(monkeypatch, vector_index)
+    both = np.random.default_rng(9).normal(size=(400, 8))
+    nobody = spark.createDataFrame([], "user_id bigint, item_id bigint")
+    v = vectors(spark, both, "item_id")
+    index = vector_index.InvertedIndex.build(v, 3, list_rows=8, slices=4)
+    lists = index.lists.count()
+    found = index.search(vectors(spark, both[:20], "user_id"), 5, nobody, 3, lists, 400)
+    assert lists_of(found) == full_sort(both[:20], both, [], 5, 3)
+    assert rows and rows[0] <= 20 * vector_search.LEAST_GROUPS < 20 * lists
+
+
 @pytest.fixture(scope="module")
 def fitted(spark, events, items, users):
     """Clicks planted by user and author parity, so there is something to learn."""

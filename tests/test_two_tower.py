@@ -401,3 +401,53 @@ def test_default_rounds_spread_over_tasks_and_learn_like_one(spark, items, users
     assert set(default.widths) == {2} and set(one.widths) == {1}
     print("losses", default.losses, one.losses)
     assert default.losses[-1] == pytest.approx(one.losses[-1], rel=0.04)
+
+
+def test_rounds_in_a_row_in_one_task_train_like_jobs(spark, items, users, monkeypatch):
+    """Few shards a round: one job trains a stretch of rounds, with the results of a job a round."""
+    n = 3_000
+    row = F.col("id")
+    user = F.pmod(F.xxhash64(row), F.lit(28))
+    item = F.pmod(F.xxhash64(row, F.lit(1)), F.lit(20)) * 2 + user % 2
+    fit = spark.range(n).select(
+        user.alias("user_id"), item.alias("item_id"), F.date_add(F.lit(DAY0), (row % 8).cast("int")).alias("date"),
+        row.alias("time_ms"), F.lit(1).alias("is_click"),
+    )
+    catalog = cat.build_catalog(items, fit).persist()
+    # a shard is a batch: the order of equal items in a shard is not fixed and would deal them to other batches
+    params = TwoTowerParams(max_history=5, max_tags=2, field_dim=4, user_field_dim=2, hidden=16, dim=8, batch_size=512, epochs=1, shard_rows=250)
+    monkeypatch.setattr(two_tower, "RAMP", 4)
+    written, original = [], two_tower.materialize
+    monkeypatch.setattr(two_tower, "materialize", lambda df, name, *rest: written.append(name) or original(df, name, *rest))
+
+    def fitted():
+        written.clear()
+        model = two_tower.TwoTowerRetriever(items, users, params, 5)
+        model.prepare(fit, catalog, AS_OF)
+        model.train()
+        rows = {(r["tab"], r["id"]): r["vec"] for r in model.tables.collect()}
+        return model, rows, written.count("changes")
+
+    in_a_row, rows, few = fitted()
+    monkeypatch.setattr(two_tower, "TURN_WORK", 0)
+    job_by_job, rows_by_job, many = fitted()
+    assert in_a_row.widths == job_by_job.widths == [2] * 4 + [4] and (few, many) == (2, 5)
+    assert in_a_row.examples_seen == job_by_job.examples_seen == [n] and in_a_row.steps == job_by_job.steps
+    assert in_a_row.losses == pytest.approx(job_by_job.losses, rel=1e-9)
+    for name, weights in in_a_row.weights.items():
+        assert weights == pytest.approx(job_by_job.weights[name], abs=1e-9), name
+    assert rows.keys() == rows_by_job.keys()
+    assert max(np.abs(np.subtract(rows[k], rows_by_job[k])).max() for k in rows) < 1e-9
+
+
+def test_tasks_bring_the_parameters_along():
+    """Executors have no install: nothing a task gets may be looked up by module."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; print(pickle.load(sys.stdin.buffer)(2048))"
+    sent = cloudpickle.dumps(lambda size: TwoTowerParams(batch_size=size).batch_size)
+    found = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd="/")
+    assert found.stdout.split() == [b"2048"], found.stderr

@@ -85,9 +85,15 @@ def near_components(points: DataFrame) -> DataFrame:
     first, _ = components(stars.select(bits.alias("u"), F.col("other").alias("v")))
     labelled = points.join(first, bits == F.col("node"), "left").select("bits", F.coalesce("component", "bits").alias("label"))
     labelled = Stored(labelled, "labelled").df
+    second, _ = components(links_between(labelled).select("u", "v"))
+    return labelled.join(second, F.col("label") == F.col("node"), "left").select("bits", F.coalesce("component", "label").alias("component"))
+
 
+def links_between(labelled: DataFrame) -> DataFrame:
+    """(u, v) and the fingerprints: near pairs of `labelled` (bits, label) whose labels differ."""
+    bits = F.col("bits")
     # Two numbers a row become 67 keys: dealt out evenly first, or the few files of the table were the only tasks.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, sides = [], []
     for s, (start, n) in enumerate(SEGMENTS):
         segment = _segment(bits, start, n)
@@ -100,9 +106,9 @@ def near_components(points: DataFrame) -> DataFrame:
     index = index.select("bits", "label", F.col("k.key").alias("key"), F.col("k.side").alias("side"))
     a = index.where("side is null or not side").select("key", bits.alias("a"), F.col("label").alias("u"), F.col("side").isNull().alias("whole"))
     b = index.where("side is null or side").select("key", bits.alias("b"), F.col("label").alias("v"))
-    links = a.join(b, "key").where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b")) & (~F.col("whole") | (F.col("a") < F.col("b"))))
-    second, _ = components(links.select("u", "v"))
-    return labelled.join(second, F.col("label") == F.col("node"), "left").select("bits", F.coalesce("component", "label").alias("component"))
+    # Spark sizes what it explodes like the rows before, 67 times too low, and would broadcast it: both sides are shuffled.
+    met = a.join(b.hint("merge"), "key")
+    return met.where((F.col("u") != F.col("v")) & _near(F.col("a"), F.col("b")) & (~F.col("whole") | (F.col("a") < F.col("b"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -137,6 +137,16 @@ def test_every_pair_of_near_fingerprints_shares_a_key(spark):
         assert min(segments) <= 1
 
 
+def test_keys_are_not_broadcast(spark):
+    """A row is exploded to 67 keys, which Spark does not count: however few bytes the fingerprints seem to be, both sides are shuffled."""
+    assert int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))) > 1 << 20
+    few = spark.createDataFrame([(i, i) for i in (0, 1, 7, 1 << 60)], "bits long, label long")
+    found = simhash.links_between(few)
+    assert {tuple(sorted(r)) for r in found.select("a", "b").collect()} == {(0, 1), (0, 7), (0, 1 << 60), (1, 7), (1, 1 << 60), (7, 1 << 60)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_near_duplicates(spark):
     docs = common.Stored(frame(spark), "docs").df
     made = rows()

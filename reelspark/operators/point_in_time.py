@@ -358,17 +358,22 @@ def historical_features(
 
     The log is summed once, to a row per user, item and day; what is asked is
     reduced once, to distinct keys and days. The views, and the static columns,
-    are put together on those small sides, so the wide rows join three times: by
-    item and day, by user, author and day, and by user and day. They carry totals,
+    are put together on those small sides, so the wide rows join twice: by item and
+    day, and by user and day, where the totals of the user's authors that day are one map. They carry totals,
     which are short; features are made of them, and the few rows of authors join, after the last shuffle.
     """
     params = params or FeatureParams()
     tables = feature_tables(examples, interactions, items, users, params)
     of_item, of_user = _safe_names("item_id", "date"), _safe_names("user_id", "date")
     out = _null_safe(examples, ("user_id", "item_id", "date")).join(tables.per_day.drop("item_id", "date"), of_item, "left")
-    # the wider table of users comes last
-    out = out.join(tables.pairs, ["user_id", "item_author_id", "date"], "left")
-    out = out.join(tables.of_user.drop("user_id", "date"), of_user, "left").drop(*of_item, *of_user)
+    # A user's day brings the totals of all its authors, so the widest rows are not shuffled by author as well.
+    totals = [c for c in tables.pairs.columns if c not in ("user_id", "item_author_id", "date")]
+    entry = F.struct("item_author_id", F.struct(*totals).alias("totals"))
+    authors = _null_safe(tables.pairs, ("user_id", "date")).groupBy(*of_user)
+    authors = authors.agg(F.map_from_entries(F.collect_list(entry)).alias("_authors"))
+    out = out.join(tables.of_user.drop("user_id", "date").join(authors, of_user, "left"), of_user, "left")
+    out = out.withColumn("_met", F.try_element_at("_authors", F.col("item_author_id")))
+    out = out.withColumns({c: F.col(f"_met.{c}") for c in totals}).drop("_met", "_authors", *of_item, *of_user)
     out = tables.shown(out, "item", "author", "user", "ua")
     check_leakage(out, params.leaky_columns)
     passed = examples.columns

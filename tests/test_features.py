@@ -157,6 +157,18 @@ def test_totals_travel_instead_of_features(spark, events, items, users):
     assert sum("_item_impr_all" in names and "is_click" not in names for names in found) == 1
 
 
+def test_wide_rows_are_shuffled_by_item_and_by_user_only(spark, events, items, users):
+    """Totals by user and author come with the user's day; no row is dealt out for them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exchanged(pit.historical_features(examples(events), events, items, users))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    wide = [names for names in found if "is_click" in names]
+    assert len(wide) == 2 and not any("_ua_impr_all" in names or "_user_impr_all" in names for names in wide)
+
+
 def test_many_authors_join_before_the_rows_do(spark, baseline, events, items, users, monkeypatch):
     asked, got = baseline
     monkeypatch.setattr(pit, "AUTHOR_DAYS", 0)
